@@ -40,6 +40,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes inside repeated 100-byte strings."""
+    from chronomesh.llm.substring import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     from chronomesh.llm.packing import best_fit_pack
