@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    from chronomesh.llm.langid import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths with totals for every context limit."""
     from chronomesh.llm.tokens import length_histogram
