@@ -26,6 +26,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learnt from those that are not held out."""
+    from chronomesh.llm.lmscore import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths with totals for every context limit."""
     from chronomesh.llm.tokens import length_histogram
