@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh.llm import quality
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +21,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document."""
+    from chronomesh.llm.quality import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     from chronomesh.llm.langid import digest
@@ -95,6 +104,7 @@ _WORDS_OF = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQ
 _NORMAL = r"trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\s\x{0085}\x{00A0}\x{2028}\x{2029}]+', ' ', 'g'))"
 
 SQL = {
+    "op1_divergence": quality.sql(),
     "op7_line_dedup": f"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 o AS (SELECT doc_id, k - 1 AS k, {_NORMAL} AS l FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS k FROM d)),
