@@ -28,6 +28,13 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and turns of every conversation's transcript."""
+    from chronomesh.llm.transcripts import digest
+
+    return digest(_table(spark, sf_dir, "conversations"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     from chronomesh.llm.langid import digest
