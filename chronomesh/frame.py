@@ -59,9 +59,9 @@ class EventFrame:
         return out.add_output_modality(modality) if modality else out
 
     def require_context(
-        self, *, spatial_crs: str | None = None, temporal_resolution: str | None = None, required_context: Iterable[str] = (), notes: dict[str, Any] | None = None
+        self, *, spatial_crs: str | None = None, temporal_resolution: str | None = None, context_tags: Iterable[str] = (), notes: dict[str, Any] | None = None
     ) -> EventFrame:
-        more = ContextRequirementState(spatial_crs=spatial_crs, temporal_resolution=temporal_resolution, required_context=set(required_context), notes=notes or {})
+        more = ContextRequirementState(spatial_crs=spatial_crs, temporal_resolution=temporal_resolution, required_context=set(context_tags), notes=notes or {})
         merged = self.schema.context_requirements.merged(more)
         return EventFrame(self.df, self.schema.model_copy(update={"context_requirements": merged}), self.metadata)
 

@@ -96,10 +96,12 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     within one the sum has a closed form as a running sum, and of the blocks
     before only the last one matters in double precision.
     """
-    x = micros(order[0]) / F.lit(1e6) if position is None else position.cast("double")
-    width = 300.0 / rate
-    base = df.withColumns({"_x": x, "_wt": weight.cast("double")}).withColumns({"_bl": F.floor(F.col("_x") / width)})
-    base = base.withColumn("_rel", F.col("_x") - F.col("_bl") * F.lit(width))
+    # whole units keep every digit: seconds since 1970 as a double are good to a quarter of a microsecond only
+    x, units = (micros(order[0]), 1e6) if position is None else (position.cast("long"), 1.0)
+    whole = max(1, int(300.0 / rate * units))
+    width = whole / units
+    base = df.withColumns({"_x": x, "_wt": weight.cast("double")}).withColumn("_rel", F.pmod("_x", F.lit(whole)) / F.lit(units))
+    base = base.withColumn("_bl", ((F.col("_x") - F.pmod("_x", F.lit(whole))) / F.lit(whole)).cast("long"))
     grown = F.coalesce(F.col("_wt"), F.lit(0.0)) * F.exp(F.lit(rate) * F.col("_rel"))
     last = 0 if include_self else -1
     here = Window.partitionBy(*keys, "_bl").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
