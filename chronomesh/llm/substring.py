@@ -38,6 +38,8 @@ STRIDE = 1 << 20
 BROADCAST_ROWS = 300_000
 #: Surroundings of one gram beyond which its windows are dealt out singly.
 HOT_RUNS = 100_000
+#: Anchors that a task holds before it sends them on.
+FLUSH_ROWS = 300_000
 LAST = (1 << 63) - 1
 _RUN = np.dtype([("gram", "<i8"), ("context", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
@@ -113,7 +115,7 @@ def _anchor_blobs(docs: DataFrame, length: int, shards: int) -> DataFrame:
                 rows = np.zeros(len(gram), _RUN)
                 rows["gram"], rows["context"], rows["doc"], rows["start"], rows["n"] = gram, context, doc, start, n
                 held.append(rows)
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > FLUSH_ROWS:
                 yield _sent(held, shards)
                 held = []
         yield _sent(held, shards)
