@@ -11,16 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh.adapters.graph import GraphAdapter
+from chronomesh.adapters.raster import RasterAdapter
+from chronomesh.adapters.sequence import SequenceAdapter
+from chronomesh.adapters.stream import StreamAdapter
+from chronomesh.adapters.table import TableAdapter
 from chronomesh.frame import EventFrame
 from chronomesh.operators import context as C
 from chronomesh.operators import features as FE
 from chronomesh.operators import point_process as P
 from chronomesh.operators import spatial as S
 from chronomesh.operators import temporal as T
+from chronomesh.operators import validation as V
 from chronomesh.pipeline import Pipeline
 from chronomesh.schema import ContextSchema, EventMetadata, EventSchema
-from chronomesh.sources.context import DynamicTemporalSource, StaticTemporalSource
+from chronomesh.sources.context import DynamicTemporalSource, StaticSpatialSource, StaticTemporalSource
 from chronomesh.streaming import steps as R
+from chronomesh.streaming.runner import sessionize, tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,6 +424,84 @@ def streaming_inter_event(spark, sf_dir):
     return rounded(R.StreamingInterEventStep(group_cols=["user_id"]).run(events(spark, sf_dir)), "streaming_inter_event", "streaming_inter_event_ema", "streaming_event_rate")
 
 
+BY_CELL = f"g AS (SELECT *, {GRID} AS grid_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day FROM e)"
+
+
+@query("SELECT event_id, 1.0::FLOAT AS _intercept, value::FLOAT AS value, user_id::FLOAT AS user_id, event_type FROM e")
+def table_features(spark, sf_dir):
+    return TableAdapter(index_cols=["event_id"], feature_cols=["value", "user_id"], target_col="event_type", include_intercept=True).frame(events(spark, sf_dir))
+
+
+@query(f", {CELLS}, r AS (SELECT grid_id AS unit, row_number() OVER (PARTITION BY grid_id ORDER BY ts, event_id) - 1 AS position, count(*) OVER (PARTITION BY grid_id) AS length, value FROM g) SELECT * FROM r WHERE position < 16")
+def sequence_long(spark, sf_dir):
+    long = SequenceAdapter(feature_cols=["value"], sequence_length=16).frame(_gridded(spark, sf_dir))
+    return rounded(long, "unit", "position", "length", "value", keep=())
+
+
+@query(f", {BY_CELL}, t AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS t FROM g GROUP BY day), c AS (SELECT grid_id, row_number() OVER (ORDER BY grid_id) - 1 AS i FROM g GROUP BY grid_id), n AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM c) SELECT t, i // w AS \"row\", i % w AS col, day AS time, arg_max(value, (day, event_id)) AS value FROM g JOIN t USING (day) JOIN c USING (grid_id) CROSS JOIN n GROUP BY 1, 2, 3, 4")
+def raster_long(spark, sf_dir):
+    f = T.TimeBinsStep("1d", "day").run(_gridded(spark, sf_dir))
+    long = RasterAdapter(timestamp_col="day", grid_col="grid_id", feature_cols=["value"]).frame(f)
+    return rounded(long, "t", "row", "col", "time", "value", keep=())
+
+
+@query(f", {CELLS}, m AS (SELECT grid_id AS node, avg(value) AS v FROM g GROUP BY 1) SELECT node, row_number() OVER (ORDER BY node) - 1 AS n, {R6('v')} AS value FROM m")
+def graph_nodes(spark, sf_dir):
+    return rounded(GraphAdapter(feature_cols=["value"]).nodes(_gridded(spark, sf_dir)), "node", "n", "value", keep=())
+
+
+@query(f", {CELLS}, m AS (SELECT grid_id AS node, avg(lon) AS x, avg(lat) AS y FROM g GROUP BY 1), p AS (SELECT a.node AS src, b.node AS dst, 1 / (sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + 1e-6) AS w FROM m a JOIN m b ON a.node <> b.node AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.025), d AS (SELECT src AS v, sum(w) AS d FROM p GROUP BY 1) SELECT src, dst, {R6('w')} AS weight, {R6('w / sqrt(a.d * b.d)')} AS norm FROM p JOIN d a ON a.v = src JOIN d b ON b.v = dst")
+def graph_edges(spark, sf_dir):
+    return rounded(GraphAdapter(spatial_threshold=0.025).edges(_gridded(spark, sf_dir)), "src", "dst", "weight", "norm", keep=())
+
+
+@query(f", {BY_CELL}, s AS (SELECT day, node FROM (SELECT DISTINCT day FROM g) AS a CROSS JOIN (SELECT DISTINCT grid_id AS node FROM g) AS b), m AS (SELECT day, grid_id AS node, avg(value) AS v FROM g GROUP BY 1, 2) SELECT s.day AS snapshot, s.node, {R6('coalesce(v, 0)')} AS value FROM s LEFT JOIN m ON m.day = s.day AND m.node = s.node")
+def graph_snapshots(spark, sf_dir):
+    return rounded(GraphAdapter(feature_cols=["value"], snapshot_interval="1d").snapshots(_gridded(spark, sf_dir)), "snapshot", "node", "value", keep=())
+
+
+@query(f", r AS (SELECT event_id, floor(epoch_us(ts) / 1e6) AS s, value, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type, row_number() OVER (ORDER BY ts, event_id) AS rn FROM e), t AS (SELECT *, s - (SELECT min(s) FROM r) AS time FROM r) SELECT event_id, time + 0.0 AS time, event_type, coalesce(time - lag(time) OVER (ORDER BY rn), 0) + 0.0 AS inter_time, value FROM t")
+def stream_long(spark, sf_dir):
+    long = StreamAdapter(state_cols=["value"], event_type_col="event_type").frame(events(spark, sf_dir))
+    return rounded(long, "time", "event_type", "inter_time", "value")
+
+
+@query("SELECT * FROM (VALUES ('intensity_positivity', true, 'error', CAST(0 AS BIGINT)), ('probability_bounds', true, 'error', 0), ('hazard_positivity', true, 'error', 0), ('intensity_integrability', true, 'error', 0), ('survival_monotonicity', true, 'error', 0), ('temporal_ordering', true, 'error', 0)) AS t(check_name, is_valid, severity, n_violations)")
+def validation_report(spark, sf_dir):
+    """Checks of the survival features of all events."""
+    f = Pipeline([P.SurvivalTableStep(), P.HazardRateStep()]).run(events(spark, sf_dir))
+    report = V.validate_point_process_features(f, "value", "survival_probability", "hazard_rate")
+    report.add(V.validate_temporal_ordering(f))
+    return V.report_frame(f, report)
+
+
+@query(", x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM x) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, k")
+def sessions(spark, sf_dir):
+    out = sessionize(events(spark, sf_dir).df, "ts", "30 minutes", ["user_id"])
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM e GROUP BY 1, 2, 3")
+def tumbling_counts(spark, sf_dir):
+    out = tumbling(events(spark, sf_dir).df, "ts", "1 hour", ["event_type"])
+    return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), "event_type", "n")
+
+
+@query(f"SELECT event_id, lat, lon, value FROM e WHERE lat BETWEEN 41.7 AND 41.9 AND value > 100")
+def filtered(spark, sf_dir):
+    """Projection and filters of a frame."""
+    f = events(spark, sf_dir).filter(F.col("lat").between(41.7, 41.9), F.col("value") > 100).select("event_id", "lat", "lon", "value")
+    return rounded(f, "lat", "lon", "value", digits=9)
+
+
+@query(f", p AS (SELECT event_id, user_id, value, {GRID} AS grid_id FROM e) SELECT event_id, x.value AS xvalue FROM p LEFT JOIN (SELECT grid_id, max(value) AS value FROM p GROUP BY 1) AS x USING (grid_id)")
+def enricher_spatial(spark, sf_dir):
+    """A side table by grid cell."""
+    f = _gridded(spark, sf_dir)
+    source = StaticSpatialSource(f.df.groupBy("grid_id").agg(F.max("value").alias("xvalue")), ContextSchema(spatial_col="grid_id"))
+    return C.EnricherStep(source, C.SpatialJoin("grid", "grid_id")).run(f).df.select("event_id", "xvalue")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
