@@ -127,4 +127,4 @@ class SequenceAdapter(BaseModalityAdapter):
         values = np.stack([table[c].to_numpy().reshape(n, t) for c in names], axis=2) if names else np.zeros((n, t, 0))
         mask = table["mask"].to_numpy(zero_copy_only=False).reshape(n, t)
         lengths = table["length"].to_numpy().reshape(n, t)[:, 0] if t else np.zeros(n, np.int64)
-        return SequenceOutput(values, mask, **plain, lengths=lengths)
+        return SequenceOutput(values, mask, **plain, lengths=lengths, time_encoding=self._time(t))

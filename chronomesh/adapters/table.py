@@ -73,7 +73,7 @@ class TableAdapter(BaseModalityAdapter):
         index, features, roles = self._names(source)
         kind = "float" if self.dtype == "float32" else "double"
         made = [(F.lit(1.0) if c == "_intercept" else self.numeric(c)).cast(kind).alias(c) for c in features]
-        return self.data(source).select(*index, *made, *roles)
+        return self.data(source).select(*(c for c in index if c not in features), *made, *(c for c in roles if c not in [*features, *index]))
 
     def convert(self, event_frame: EventFrame | DataFrame) -> TableOutput:
         index, features, roles = self._names(event_frame)
