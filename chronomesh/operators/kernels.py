@@ -142,16 +142,15 @@ def asof_join(
     found = {}
     for way in ("backward", "forward") if direction == "nearest" else (direction,):
         back = way == "backward"
-        side = F.col("_side") if back else F.col("_side").desc()
-        order = Window.partitionBy(*keys).orderBy(F.col("_us"), side, F.col("_row"))
-        span = order.rowsBetween(Window.unboundedPreceding, 0) if back else order.rowsBetween(0, Window.unboundedFollowing)
-        pick = (F.last if back else F.first)("_row", ignorenulls=True)
-        both = both.withColumn(f"_{way}", pick.over(span))
+        # the forward search runs backward in time: a frame that grows from the start costs a row once
+        first = [F.col("_us"), F.col("_side"), F.col("_row")] if back else [F.col("_us").desc(), F.col("_side"), F.col("_row").desc()]
+        span = Window.partitionBy(*keys).orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(f"_{way}", F.last("_row", ignorenulls=True).over(span))
         if not by:  # from the nearest block with marks: one row a block
             ends = both.where("_side = 0").groupBy(BLOCK).agg((F.max if back else F.min)(F.struct("_us", "_row")).alias("_end"))
             blocks = both.select(BLOCK).distinct().join(ends, BLOCK, "left")
-            far = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1) if back else Window.orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-            blocks = blocks.select(F.col(BLOCK).alias("_b"), (F.last if back else F.first)("_end", ignorenulls=True).over(far)["_row"].alias(f"_far_{way}"))
+            far = Window.orderBy(F.col(BLOCK) if back else F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+            blocks = blocks.select(F.col(BLOCK).alias("_b"), F.last("_end", ignorenulls=True).over(far)["_row"].alias(f"_far_{way}"))
             both = both.join(blocks, F.col(BLOCK).eqNullSafe(F.col("_b")), "left").drop("_b")
             found[way] = F.coalesce(F.col(f"_{way}"), F.col(f"_far_{way}"))
         else:
