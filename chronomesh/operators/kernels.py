@@ -23,33 +23,43 @@ def event_order(frame: EventFrame) -> list[str]:
     return [frame.schema.timestamp_col, *([frame.schema.id_col] if frame.schema.id_col else [])]
 
 
+def spread_groups(df: DataFrame) -> str:
+    """The block of time by which groups are cut too: the session's ``chronomesh.blockGroups``, such as ``1d``; by default none.
+
+    A group of a large share of all rows then spreads over as many tasks as it has blocks.
+    """
+    return df.sparkSession.conf.get("chronomesh.blockGroups", "")
+
+
 def sequenced(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] = (), before: int = 0, after: int = 0, block: str = "1d"
 ) -> tuple[DataFrame, WindowSpec]:
     """A frame and a window in which each row sees ``before`` rows before and ``after`` rows after it.
 
-    With keys the window is partitioned by them. Without, by block of time, and
-    the frame has more rows: copies of ``order`` and ``cols`` of the neighbouring
+    With keys the window is partitioned by them. Without, or if groups are spread
+    (:func:`spread_groups`), by block of time too, and the frame has more rows: copies of ``order`` and ``cols`` of the neighbouring
     blocks' rows. Compute the columns, then call :func:`own_rows`.
     """
-    if keys:
+    spread = spread_groups(df)
+    if keys and not spread:
         return df, Window.partitionBy(*keys).orderBy(*order)
-    width = parse_duration(block)
+    width = parse_duration(spread or block)
     base = df.withColumns({BLOCK: F.floor(micros(order[0]) / width), HALO: F.lit(False)})
-    window = Window.partitionBy(BLOCK).orderBy(*order)
-    fields = [*order, *(c for c in dict.fromkeys(cols) if c not in order)]
+    dealt = [*keys, BLOCK]
+    window = Window.partitionBy(*dealt).orderBy(*order)
+    blocks = (Window.partitionBy(*keys) if keys else Window).orderBy(BLOCK)
+    fields = [*order, *(c for c in dict.fromkeys(cols) if c not in (*order, *keys))]
     parts = [base]
     for n, ahead in ((before, False), (after, True)):
         if n <= 0:
             continue
-        edge = Window.partitionBy(BLOCK).orderBy(*((F.col(c).asc() if ahead else F.col(c).desc()) for c in order))
+        edge = Window.partitionBy(*dealt).orderBy(*((F.col(c).asc() if ahead else F.col(c).desc()) for c in order))
         rows = base.withColumn("_r", F.row_number().over(edge)).where(F.col("_r") <= n)
-        ends = rows.groupBy(BLOCK).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))  # n rows at most
-        near = Window.orderBy(BLOCK).rowsBetween(1, n) if ahead else Window.orderBy(BLOCK).rowsBetween(-n, -1)
-        joined = F.flatten(F.collect_list("_rows").over(near))
+        ends = rows.groupBy(*dealt).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))  # n rows at most
+        joined = F.flatten(F.collect_list("_rows").over(blocks.rowsBetween(1, n) if ahead else blocks.rowsBetween(-n, -1)))
         cut = F.slice("_rows", 1, n) if ahead else F.slice("_rows", -n, n)
         ends = ends.withColumn("_rows", joined).withColumn("_rows", F.when(F.size("_rows") <= n, F.col("_rows")).otherwise(cut))
-        parts.append(ends.select(BLOCK, F.explode("_rows").alias("_e")).select(BLOCK, *(F.col("_e")[c].alias(c) for c in fields), F.lit(True).alias(HALO)))
+        parts.append(ends.select(*dealt, F.explode("_rows").alias("_e")).select(*dealt, *(F.col("_e")[c].alias(c) for c in fields), F.lit(True).alias(HALO)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -136,9 +146,11 @@ def asof_join(
     marks = right.where(F.col(right_ts).isNotNull()).select(micros(right_ts).alias("_us"), *(F.col(b).alias(k) for k, (_, b) in zip(keys, by)), row.alias("_row"))
     events = events.withColumn("_side", F.lit(1)).drop("_row")
     both = events.unionByName(marks.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    if not by:
-        keys = [BLOCK]
-        both = both.withColumn(BLOCK, F.floor(F.col("_us") / parse_duration(block)))
+    places, spread = keys, spread_groups(left)
+    blocked = not by or bool(spread)
+    if blocked:
+        keys = [*keys, BLOCK]
+        both = both.withColumn(BLOCK, F.floor(F.col("_us") / parse_duration(spread or block)))
     found = {}
     for way in ("backward", "forward") if direction == "nearest" else (direction,):
         back = way == "backward"
@@ -146,12 +158,15 @@ def asof_join(
         first = [F.col("_us"), F.col("_side"), F.col("_row")] if back else [F.col("_us").desc(), F.col("_side"), F.col("_row").desc()]
         span = Window.partitionBy(*keys).orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
         both = both.withColumn(f"_{way}", F.last("_row", ignorenulls=True).over(span))
-        if not by:  # from the nearest block with marks: one row a block
-            ends = both.where("_side = 0").groupBy(BLOCK).agg((F.max if back else F.min)(F.struct("_us", "_row")).alias("_end"))
-            blocks = both.select(BLOCK).distinct().join(ends, BLOCK, "left")
-            far = Window.orderBy(F.col(BLOCK) if back else F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-            blocks = blocks.select(F.col(BLOCK).alias("_b"), F.last("_end", ignorenulls=True).over(far)["_row"].alias(f"_far_{way}"))
-            both = both.join(blocks, F.col(BLOCK).eqNullSafe(F.col("_b")), "left").drop("_b")
+        if blocked:  # from the nearest block with marks: one row a block
+            end = (F.max if back else F.min)(F.when(F.col("_side") == 0, F.struct("_us", "_row"))).alias("_end")
+            blocks = both.groupBy(*keys).agg(end)
+            far = (Window.partitionBy(*places) if places else Window).orderBy(F.col(BLOCK) if back else F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+            blocks = blocks.select(*(F.col(k).alias(f"_far{k}") for k in keys), F.last("_end", ignorenulls=True).over(far)["_row"].alias(f"_far_{way}"))
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_far{k}"))
+            both = both.join(blocks, same, "left").drop(*(f"_far{k}" for k in keys))
             found[way] = F.coalesce(F.col(f"_{way}"), F.col(f"_far_{way}"))
         else:
             found[way] = F.col(f"_{way}")

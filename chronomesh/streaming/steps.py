@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from chronomesh.frame import EventFrame
 from chronomesh.functions.time import micros, seconds
-from chronomesh.operators.kernels import decayed_sum, event_order, own_rows, running, sequenced
+from chronomesh.operators.kernels import BLOCK, decayed_sum, event_order, own_rows, running, sequenced
 from chronomesh.operators.point_process import positive
 from chronomesh.pipeline import Step
 from chronomesh.registry import step
@@ -143,7 +143,7 @@ class StreamingWindowStep(StreamingStep):
         start = F.greatest(F.col("_rn") - (m - 1), F.lit(1))
         first_us = F.min("_us").over(window.rowsBetween(-(m - 1), 0))
         if self.window_duration:
-            keys = list(self.group_cols) or ["_block"]
+            keys = [*self.group_cols, *([BLOCK] if BLOCK in df.columns else [])]
             span = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-round(seconds(self.window_duration) * 1e6), 0)
             start = F.greatest(start, F.min("_rn").over(span))
             first_us = F.greatest(first_us, F.min("_us").over(span))

@@ -117,3 +117,41 @@ def test_windows_of_time(make):
     assert sorted(r.n for r in sessionize(f.df, "ts", "30 minutes", ["user"]).collect()) == [2, 2]
     assert sorted(r.n for r in tumbling(f.df, "ts", "1 hour").collect()) == [1, 3]
     assert sum(r.n for r in tumbling(f.df, "ts", "1 hour", slide="30 minutes").collect()) == 8
+
+
+def test_spread_groups_change_nothing(make, rows_of, spark):
+    """Groups cut by blocks of time, for hot ones, give what whole groups give."""
+    from pyspark.sql import types as ST
+
+    from chronomesh.operators import point_process as P
+    from chronomesh.operators import temporal as T
+    from chronomesh.operators.context import SpatioTemporalContextJoinStep
+
+    f = make([{"ts": START + timedelta(hours=11 * i + i % 3), "user": [0, 0, None, 1][i % 4]} for i in range(40)])
+    ctx = f.df.where("id % 9 = 0").select("user", F.col("ts"), (F.col("id") * 1).alias("x"))
+    assert isinstance(ctx.schema["ts"].dataType, ST.TimestampNTZType)
+    steps = [
+        T.TemporalLagStep(["value"], [1, 4, -2], group_cols=["user"]), T.MovingAverageStep(["value"], [5], group_cols=["user"], center=True),
+        P.HawkesKernelStep(max_history=4, group_cols=["user"]), P.DurationFeaturesStep(group_cols=["user"]), R.StreamingWindowStep(5, "40h", group_cols=["user"]),
+        R.StreamingInterEventStep(group_cols=["user"]),
+        *(SpatioTemporalContextJoinStep(ctx, "user", "ts", ["x"], way) for way in ("asof_backward", "asof_forward")),
+    ]
+    want = [rows_of(s.run(f)) for s in steps]
+    spark.conf.set("chronomesh.blockGroups", "1d")
+    try:
+        for s, w in zip(steps, want):
+            got = rows_of(s.run(f))
+            assert all(a.keys() == b.keys() and all(close(a[k], b[k]) if isinstance(a[k], float) else a[k] == b[k] for k in a) for a, b in zip(got, w)), s
+    finally:
+        spark.conf.unset("chronomesh.blockGroups")
+
+
+def test_helpers():
+    from pyspark.sql import types as ST
+
+    from chronomesh.functions import util
+
+    assert util.is_numeric(ST.LongType()) and util.is_categorical(ST.BooleanType()) and util.is_temporal(ST.TimestampNTZType())
+    assert util.ProgressTracker(4).update(2) == 0.5
+    with pytest.raises(ValueError):
+        util.get_timezone("Nowhere/Land")
