@@ -24,7 +24,7 @@ FAMILIES = {
 #: Hashed features of a text.
 FEATURES = 4096
 #: Bound of the labelled rows that the model is fitted on.
-MAX_SAMPLE = 4000
+MAX_SAMPLE = 2000
 UNKNOWN = "und"
 #: Bytes of letters stay, every other ASCII byte becomes a space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import arrow_map, fresh, materialize, texts
+from chronomesh.llm.common import arrow_map, fresh, frugal, materialize, texts
 
 #: Stands for a null document id in the order of lines: after all others.
 LAST = (1 << 63) - 1
@@ -96,7 +96,7 @@ def _explode_variants(lines: DataFrame) -> DataFrame:
                         ["v1", "v2", "place", "doc", "line"],
                     )
 
-    return lines.mapInArrow(run, "v1 long, v2 long, place int, doc long, line int")
+    return lines.mapInArrow(frugal(run), "v1 long, v2 long, place int, doc long, line int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import LOWER, arrow_map, materialize, partitions_for, texts
+from chronomesh.llm.common import LOWER, arrow_map, frugal, materialize, partitions_for, texts
 
 #: Base of the quantised counts.
 BASE = 1.5
@@ -36,7 +36,7 @@ ENTRY_BITS, PROBES = 12, 7
 #: Largest filter and table together that go to every worker.
 MAX_BROADCAST = 256 << 20
 END, BEGIN = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
 
 
@@ -156,7 +156,7 @@ def _count_blobs(docs: DataFrame, text: str, shards: int) -> DataFrame:
         if n:
             yield send(words, pairs)
 
-    return docs.select(text).mapInArrow(run, "shard int, words binary, once binary, pairs binary")
+    return docs.select(text).mapInArrow(frugal(run), "shard int, words binary, once binary, pairs binary")
 
 
 def _merged(blobs: DataFrame, shards: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _merged(blobs: DataFrame, shards: int) -> DataFrame:
             yield emit(close(now, words, pairs))
 
     dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "shard int, words binary, pairs binary, levels binary, tokens long, types long, entries long")
+    return dealt.mapInArrow(frugal(run), "shard int, words binary, pairs binary, levels binary, tokens long, types long, entries long")
 
 
 def _slots(h: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str
                     p = pair_hash(both[0], both[1])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (both[0], both[1], p)), pa.array(n)], [row, "v", "w", "p", "n"])
 
-    asked = numbered.mapInArrow(pairs, f"{row} long, v long, w long, p long, n long")
+    asked = numbered.mapInArrow(frugal(pairs), f"{row} long, v long, w long, p long, n long")
     asked = materialize(asked, "asked")
     wanted = asked.select(F.col("w").alias("h"), F.lit(False).alias("pair")).union(asked.select("v", F.lit(False))).union(asked.select("p", F.lit(True))).distinct()
 
@@ -388,7 +388,7 @@ def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str
                     c = np.where(table["h"][slot] == own, table["c"][slot], 0).astype(np.int64) if len(table) else c
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(is_pair), pa.array(MIDDLE[level]), pa.array(c)], ["h", "pair", "about", "c"])
 
-    known = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, "h long, pair boolean, about double, c long")
+    known = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(frugal(look), "h long, pair boolean, about double, c long")
     known = materialize(known, "known")
     words_of = known.where("not pair").select("h", "about", "c")
     begin = F.lit(int(np.array([BEGIN], np.uint64).view(np.int64)[0]))

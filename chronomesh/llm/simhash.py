@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import LOWER, arrow_map, materialize, partitions_for, texts
+from chronomesh.llm.common import LOWER, arrow_map, frugal, materialize, partitions_for, texts
 from chronomesh.llm.components import connected_components
 
 #: Bits of the blocks of a fingerprint, from the lowest.
@@ -208,7 +208,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         if len(fp):
             yield _edges(*forest(fp, key, radius))
 
-    return bucketed.mapInArrow(run, "a long, b long").distinct()
+    return bucketed.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

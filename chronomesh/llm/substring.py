@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import arrow_map, materialize, partitions_for, texts
+from chronomesh.llm.common import arrow_map, frugal, materialize, partitions_for, texts
 
 GRAM = 32
 #: Bytes of a document looked at in one go.
@@ -120,7 +120,7 @@ def _anchor_blobs(docs: DataFrame, length: int, shards: int) -> DataFrame:
                 held = []
         yield _sent(held, shards)
 
-    return docs.mapInArrow(run, "shard int, kind int, runs binary")
+    return docs.mapInArrow(frugal(run), "shard int, kind int, runs binary")
 
 
 def _sent(held: list[np.ndarray], shards: int) -> pa.RecordBatch:
@@ -167,7 +167,7 @@ def _settled(blobs: DataFrame, shards: int) -> DataFrame:
         yield from shard_rows(held)
 
     dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "doc long, start int, n int, gram long, hot boolean")
+    return dealt.mapInArrow(frugal(run), "doc long, start int, n int, gram long, hot boolean")
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -196,7 +196,7 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
                     ["doc", "place", "head", "next", "rest"],
                 )
 
-    return contexts.mapInArrow(run, "doc long, place int, head long, next long, rest long")
+    return contexts.mapInArrow(frugal(run), "doc long, place int, head long, next long, rest long")
 
 
 def _names(data: bytes) -> np.ndarray:
@@ -279,9 +279,9 @@ def _doubled(windows: DataFrame) -> DataFrame:
             end = np.append(begin[1:], len(doc)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(place[begin]), pa.array((place[end] - place[begin] + 1).astype(np.int32))], ["doc", "start", "n"])
 
-    ranked = windows.sortWithinPartitions("head", "next").mapInArrow(rank, "rank long, rest long, doc long, place int")
-    found = ranked.sortWithinPartitions("rank", "rest", "doc", "place").mapInArrow(repeats, "doc long, place int")
-    return found.sortWithinPartitions("doc", "place").mapInArrow(merged, "doc long, start int, n int")
+    ranked = windows.sortWithinPartitions("head", "next").mapInArrow(frugal(rank), "rank long, rest long, doc long, place int")
+    found = ranked.sortWithinPartitions("rank", "rest", "doc", "place").mapInArrow(frugal(repeats), "doc long, place int")
+    return found.sortWithinPartitions("doc", "place").mapInArrow(frugal(merged), "doc long, start int, n int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                 names = ["gram", "hot", "doc", "start", "n", "part"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
 
-        contexts = numbered.join(per_doc, "doc").mapInArrow(cut, "gram long, hot boolean, doc long, start int, n int, part binary")
+        contexts = numbered.join(per_doc, "doc").mapInArrow(frugal(cut), "gram long, hot boolean, doc long, start int, n int, part binary")
         spans = spans.union(_doubled(_windows(contexts.where("not hot").repartition(shards, "gram"), length)))
         if hot:  # one gram in very many surroundings: deal out its windows
             spans = spans.union(_doubled(_windows(contexts.where("hot"), length).repartition(shards, "head", "next")))

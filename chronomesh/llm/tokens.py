@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chronomesh.llm.common import arrow_map, texts
 
 #: Distinct words kept in one task's cache before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Stands for the end of a word; UTF-8 never holds this byte.
 END = b"\xff"
 #: Latin words without special tokens, where lower case and NFC look at one letter at a time.
