@@ -38,7 +38,7 @@ MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.25, 0.3
 
 def _base(docs: DataFrame, keys: tuple[str, ...], text: str, lang: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.btrim(t, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, SPACE))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     letters = F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda x: x != "")
@@ -46,8 +46,10 @@ def _base(docs: DataFrame, keys: tuple[str, ...], text: str, lang: str) -> DataF
     n = F.size("_w")
     hashed = F.when(
         n >= 3,
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))),
+        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))),
     )
+    # most texts repeat no window: only the others' windows are sorted
+    sorted_windows = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     counts = {k: F.regexp_count("_t", F.lit(p)) for k, p in CLASSES.items()}
     second = first.select(
         *keys,
@@ -56,13 +58,13 @@ def _base(docs: DataFrame, keys: tuple[str, ...], text: str, lang: str) -> DataF
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(hashed).alias("_s"),
+        hashed.alias("_h"),
         F.length("_t").alias("_chars"),
         *(c.cast("long").alias(f"_{k}") for k, c in counts.items()),
         F.size("_letters").alias("_n_letters"),
         F.filter("_letters", lambda x: x.isin(*COMMON)).alias("_hits"),
     )
-    third = second.withColumn(
+    third = second.withColumn("_s", sorted_windows).withColumn(
         "_p",
         F.sort_array(F.transform(F.filter("_s", lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"])), lambda x: x["i"])),
     )
