@@ -14,7 +14,10 @@ from chronomesh.llm.common import small_batches
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # a table in fewer pieces than there are cores is small: deal it out, since the work is in the rows
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def tokenizer_path() -> str:
