@@ -1,0 +1,154 @@
+"""Near-duplicates by the exact similarity of their word shingles (the pipeline's stage).
+
+Two shingle sets of Jaccard similarity t or more share a shingle among the first
+``n - ceil(t * n) + 1`` of each, in any order that is the same for all documents.
+So documents are keyed by those prefixes, in an order with frequent shingles
+last, and no similar pair is missed, whatever the order. Documents that are
+connected by common keys come together once, and there the similarity of all
+pairs is counted exactly; only links that reach it connect documents.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from chronomesh.llm.common import LOWER, arrow_map, frugal, materialize, partitions_for, texts
+from chronomesh.llm.components import connected_components
+
+#: Frequent shingles are looked for in one of so many documents; they set the order only, not what is found.
+SAMPLE = 8
+#: Least count in the sample of a frequent shingle, and how many are kept.
+FREQUENT, MOST_FREQUENT = 3, 300_000
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, sorted; a text of fewer words is one shingle."""
+    words = (text or b"").translate(LOWER).split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-width]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, len(starts)))
+
+
+def node_of(found: np.ndarray) -> int:
+    """One signed number for all texts with the same shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
+
+def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles by which a set is keyed; ``frequent`` (sorted) come last, by their counts."""
+    n = len(found)
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        slot = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        rank = np.where(frequent[slot] == found, counts[slot], 0)
+    return found[np.lexsort((found, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (later, earlier) that connect all sets of at least this similarity; fewer than sets."""
+    n, sizes, out = len(sets), np.array([len(s) for s in sets]), []
+    values, codes, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    own = shared[codes] > 1
+    codes, owner = codes[own], owner[own]
+    order = np.argsort(codes, kind="stable")
+    holders = owner[order]
+    first = np.searchsorted(codes[order], np.arange(len(values) + 1))
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    label = np.arange(n)
+    for i in range(1, n):
+        mine = codes[ends[i] : ends[i + 1]]
+        if not len(mine):
+            continue
+        common = np.bincount(np.concatenate([holders[first[c] : first[c + 1]] for c in mine.tolist()]), minlength=n)[:i]
+        near = np.flatnonzero((common > 0) & (common >= similarity * (sizes[:i] + sizes[i] - common) - 1e-9))
+        if len(near):
+            roots, at = np.unique(label[near], return_index=True)
+            out += [(i, int(j)) for j in near[at]]
+            label[: i + 1][np.isin(label[: i + 1], np.append(roots, i))] = roots[0]
+    return out
+
+
+def _frequent(docs: DataFrame, key: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the documents repeats and their counts."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"s": [shingles(t, width).view(np.int64) for t in texts(batch, text)]}
+
+    sample = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SAMPLE)) == 0).select(text)
+    counted = arrow_map(sample, run, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
+    top = counted.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    found, n = top.column("s").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs`` with a key: key and component_id, the least key reachable by similar pairs.
+
+    Similarity is the Jaccard similarity of the sets of word shingles. Texts
+    without words are alike. Rows with a null key are left out.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    docs = docs.where(F.col(key).isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text, width))
+    type_of = dict(docs.dtypes)[key]
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t, width) for t in texts(batch, text)]
+        return {key: batch.column(key), "node": [node_of(s) for s in sets], "keys": [prefix(s, similarity, *shared.value).view(np.int64) for s in sets]}
+
+    marked = materialize(arrow_map(docs.select(key, text), mark, f"`{key}` {type_of}, node long, keys array<long>"), "shingles")
+    classes = materialize(marked.groupBy("node").agg(F.min(key).alias("least"), F.any_value("keys").alias("keys")), "classes")
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    stars = keyed.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    together = materialize(connected_components(stars), "together")
+
+    def sets_of(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t, width) for t in texts(batch, text)]
+        return {"node": [node_of(s) for s in sets], "content": [s.tobytes() for s in sets]}
+
+    wanted = classes.join(together, "node").select(F.col("least").alias(key)).distinct()
+    content = arrow_map(docs.select(key, text).join(wanted, key, "left_semi"), sets_of, "node long, content binary")
+
+    def verify(batches):
+        now, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = forest(sets, similarity) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k, _ in found], pa.int64()), pa.array([nodes[k] for _, k in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for group, node, blob in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "content"))):
+                if group != now:
+                    yield links()
+                    now, nodes, sets = group, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(blob, np.uint64))
+        yield links()
+
+    parts = partitions_for(docs.sparkSession)
+    dealt = content.join(together, "node").select("component", "node", "content").repartition(parts, "component").sortWithinPartitions("component", "node")
+    found = connected_components(dealt.mapInArrow(frugal(verify), "a long, b long"))
+    members = classes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.select(key, "node").join(members.select("node", "component").join(least, "component"), "node").select(key, "component_id")
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keep one document, that of the least key, of each group of similar ones; rows with a null key and columns stay."""
+    groups = similar_groups(docs, similarity, width, key, text)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone_key")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone_key"], "left_anti")
