@@ -27,8 +27,6 @@ from chronomesh.llm.common import LOWER, arrow_map, frugal, materialize, partiti
 
 #: Base of the quantised counts.
 BASE = 1.5
-#: Pairs seen less often are left to the single words (a cut-off of the model).
-LEAST_PAIR = 2
 #: Weight of the pair's relative frequency.
 PAIR_WEIGHT = 0.25
 #: Bits and probes of the filter for each entry.
@@ -46,7 +44,6 @@ def quantise(c: np.ndarray) -> np.ndarray:
 
 #: Count that a level stands for: the geometric middle of its range (0: unseen).
 MIDDLE = np.concatenate([[0.0], [max(1.0, np.sqrt(np.ceil(BASE ** (q - 1)) * max(np.ceil(BASE**q) - 1, 1))) for q in range(1, 80)]])
-FIRST_PAIR_LEVEL = int(quantise(np.array([LEAST_PAIR]))[0])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,13 +157,12 @@ def _count_blobs(docs: DataFrame, text: str, shards: int) -> DataFrame:
 
 
 def _merged(blobs: DataFrame, shards: int) -> DataFrame:
-    """Per shard: exact word counts, levels of the frequent pairs, and how much the filter must hold."""
+    """Per shard: exact word counts, levels of the pairs, and how much the filter must hold."""
 
     def close(shard: int, words: list, pairs: list) -> tuple:
         w, p = _counted(words), _counted(pairs)
-        p = p[p["c"] >= LEAST_PAIR]
         levels = quantise(p["c"])
-        entries = int(quantise(w["c"]).sum() + (levels - FIRST_PAIR_LEVEL + 1).sum()) if len(w) + len(p) else 0
+        entries = int(quantise(w["c"]).sum() + levels.sum()) if len(w) + len(p) else 0
         return shard, w.tobytes(), p["h"].tobytes(), levels.astype(np.uint8).tobytes(), int(w["c"].sum(dtype=np.int64)), len(w), entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +204,8 @@ def fill_segment(words: np.ndarray, pairs: np.ndarray, levels: np.ndarray, bits:
     """A shard's segment of the filter, ``bits`` long (a multiple of 8)."""
     out = np.zeros(bits // 8, np.uint8)
 
-    def put(h: np.ndarray, last: np.ndarray, first: int) -> None:
-        level = first
+    def put(h: np.ndarray, last: np.ndarray) -> None:
+        level = 1
         while len(h):
             one, two = _slots(h, level, bits)
             for k in range(PROBES):
@@ -219,8 +215,8 @@ def fill_segment(words: np.ndarray, pairs: np.ndarray, levels: np.ndarray, bits:
             more = last >= level
             h, last = h[more], last[more]
 
-    put(words["h"], quantise(words["c"]), 1)
-    put(pairs, levels.astype(np.int64), FIRST_PAIR_LEVEL)
+    put(words["h"], quantise(words["c"]))
+    put(pairs, levels.astype(np.int64))
     return out
 
 
@@ -230,12 +226,12 @@ class Filter:
     def __init__(self, data: np.ndarray, shards: int, bits: int, first_shard: int = 0):
         self.data, self.shards, self.bits, self.first_shard = data, shards, bits, first_shard
 
-    def levels(self, h: np.ndarray, first: int = 1) -> np.ndarray:
-        """The last level, from ``first`` on, up to which all are present; 0 if none is."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The last level up to which all are present; 0 if none is."""
         out = np.zeros(len(h), np.int64)
         if not self.bits:
             return out
-        rows, level = np.arange(len(h)), first
+        rows, level = np.arange(len(h)), 1
         base = (shard_of(h, self.shards) - np.uint64(self.first_shard)) * np.uint64(self.bits)
         while len(rows) and level < len(MIDDLE):
             one, two = _slots(h[rows], level, self.bits)
@@ -331,7 +327,7 @@ def _score_here(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str)
                 history = np.roll(word, 1)
                 starts = np.cumsum(sizes) - sizes
                 history[starts] = n_docs
-                pair = MIDDLE[grid.levels(pair_hash(_histories(h, sizes), h), FIRST_PAIR_LEVEL)]
+                pair = MIDDLE[grid.levels(pair_hash(_histories(h, sizes), h))]
                 p = _log10_probability(pair, history, word, tokens, types)
                 out.append(np.array([sizes, np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.add.reduceat(_base(c, tokens, types)[code], starts), np.add.reduceat(p, starts)]))
             n, n_known, base, p = np.concatenate(out, axis=1)
@@ -382,7 +378,7 @@ def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str
                 own, is_pair = h[a:b], pair[a:b]
                 level, c = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
                 if shard[a] == now:
-                    level[is_pair] = grid.levels(own[is_pair], FIRST_PAIR_LEVEL)
+                    level[is_pair] = grid.levels(own[is_pair])
                     level[~is_pair] = grid.levels(own[~is_pair])
                     slot = np.minimum(np.searchsorted(table["h"], own), max(0, len(table) - 1))
                     c = np.where(table["h"][slot] == own, table["c"][slot], 0).astype(np.int64) if len(table) else c
