@@ -86,6 +86,41 @@ class HawkesKernelStep(Step):
         return event_frame.produced(out, self.step_name, names, [ts, *self.group_cols], ["temporal", "continuous"])
 
 
+#: Distinct times that are summed over at once in one task.
+CHUNK = 4096
+
+
+def _power_law_sums(df: DataFrame, ts: str, width: float) -> DataFrame:
+    """Per distinct time: ``_earlier``, the sum of (1 + gap / width)^-2 over all events before it.
+
+    Every chunk of times meets itself and each chunk before it in a task.
+    """
+    times = df.where(F.col(ts).isNotNull()).groupBy(ts).agg(F.count("*").alias("_n"))
+    placed = running(times, [], [ts], {"_pos": F.lit(1)}).withColumn("_chunk", F.floor((F.col("_pos") - 1) / CHUNK))
+    rows = F.sort_array(F.collect_list(F.struct(micros(ts).alias("us"), F.col("_n").alias("n"))))
+    chunks = staged(placed.groupBy("_chunk").agg(rows.alias("_rows")).select("_chunk", F.col("_rows.us").alias("_us"), F.col("_rows.n").alias("_n")))  # CHUNK rows at most
+    earlier = chunks.select(F.col("_chunk").alias("_from"), F.col("_us").alias("_us_from"), F.col("_n").alias("_n_from"))
+    pairs = chunks.select("_chunk", "_us").join(earlier, F.col("_from") <= F.col("_chunk")).repartition("_chunk", "_from")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, other, n = (batch.column(c)[k].values.to_numpy() for c in ("_us", "_us_from", "_n_from"))
+                out = np.zeros(len(own))
+                for at in range(0, len(own), 256):
+                    gap = (own[at : at + 256, None] - other[None, :]).astype(np.float64)
+                    term = np.square(1.0 / (1.0 + np.maximum(gap, 0.0) / (1e6 * width)))
+                    term[gap <= 0] = 0.0
+                    out[at : at + 256] = term @ n.astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(out)], ["_us", "_part"])
+
+    sums = pairs.select("_us", "_us_from", "_n_from").mapInArrow(run, "_us long, _part double").groupBy("_us").agg(F.sum("_part").alias("_earlier"))
+    return times.select(ts, micros(ts).alias("_us")).join(sums, "_us").select(ts, "_earlier")
+
+
 @step("conditional_intensity", "temporal", "continuous")
 @dataclass
 class ConditionalIntensityStep(Step):
@@ -93,15 +128,14 @@ class ConditionalIntensityStep(Step):
 
     exponential: exp(-gap / bandwidth); hawkes: half of it; power_law:
     (1 + gap / bandwidth)^-2. The first event has 1 / (n * unit). The exponential
-    ones are scans over blocks of time; the power law has no such form and looks at
-    the last ``max_history`` events.
+    ones are scans over blocks of time; the power law has no such form, so its
+    work grows with the square of the number of distinct times.
     """
 
     method: str = "exponential"
     bandwidth: float = 1.0
     time_unit: str = "1h"
     normalize: bool = True
-    max_history: int = 10_000
 
     def __post_init__(self) -> None:
         positive(bandwidth=self.bandwidth)
@@ -112,10 +146,10 @@ class ConditionalIntensityStep(Step):
         order, df, unit = event_order(event_frame), event_frame.df, seconds(self.time_unit)
         ts, width = order[0], self.bandwidth * unit
         if self.method == "power_law":
-            rows, window = sequenced(df, [], order, [], self.max_history)
-            rows = rows.withColumn("_us", micros(ts)).withColumn("_hist", F.collect_list("_us").over(window.rowsBetween(-self.max_history, -1)))
-            total = F.aggregate("_hist", F.lit(0.0), lambda a, x: a + F.pow(1 + (F.col("_us") - x) / F.lit(1e6 * width), F.lit(-2.0)))
-            rows = own_rows(rows.withColumn("_sum", total), [*df.columns, "_sum"])
+            ties = Window.partitionBy(ts).orderBy(*order)
+            sums = _power_law_sums(df, ts, width).withColumnRenamed(ts, "_at")
+            rows = df.withColumn("_ties", F.row_number().over(ties) - 1).join(sums, F.col(ts) == F.col("_at"), "left")
+            rows = rows.withColumn("_sum", F.col("_earlier") + F.col("_ties")).select(*df.columns, "_sum")
         else:
             rows = decayed_sum(df, [], order, F.lit(0.5 if self.method == "hawkes" else 1.0), 1 / width, "_sum", include_self=False)
         stats = df.agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))

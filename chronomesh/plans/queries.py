@@ -303,6 +303,11 @@ def conditional_intensity(spark, sf_dir):
     return rounded(P.ConditionalIntensityStep().run(events(spark, sf_dir)), "conditional_intensity", "intensity_normalized")
 
 
+@query(f", r AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS rn FROM e), t AS (SELECT a.event_id, sum(pow(1 + (a.us - b.us) / 3.6e9, -2)) AS s FROM r a JOIN r b ON b.rn < a.rn GROUP BY 1), v AS (SELECT event_id, CASE WHEN rn = 1 THEN 1.0 / ((SELECT count(*) FROM e) * 3600.0) ELSE coalesce(s, 0) END AS c FROM r LEFT JOIN t USING (event_id)) SELECT event_id, {R6('c')} AS conditional_intensity, {R6('c / (SELECT max(c) FROM v)')} AS intensity_normalized FROM v")
+def conditional_intensity_power_law(spark, sf_dir):
+    return rounded(P.ConditionalIntensityStep("power_law").run(events(spark, sf_dir)), "conditional_intensity", "intensity_normalized")
+
+
 @query(f", r AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER w - 1 AS i, (SELECT count(*) FROM e) AS n, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS g FROM e WINDOW w AS (ORDER BY ts, event_id)) SELECT event_id, {R6('CASE WHEN i = 0 THEN 1.0 / n WHEN g > 0 THEN (1.0 / (n - i)) / greatest(g, 1) ELSE 0 END')} AS hazard_rate, {R6('sum(1.0 / (n - i)) OVER (ORDER BY i)')} AS cumulative_hazard FROM r")
 def hazard_rate(spark, sf_dir):
     return rounded(P.HazardRateStep().run(events(spark, sf_dir)), "hazard_rate", "cumulative_hazard")
