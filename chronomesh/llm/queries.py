@@ -113,17 +113,17 @@ def oracle_sql() -> dict[str, str]:
 
 _WORDS_OF = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
-_NORMAL = r"trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\s\x{0085}\x{00A0}\x{2028}\x{2029}]+', ' ', 'g'))"
+_NORMAL = r"trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+', ' ', 'g'))"
 
 SQL = {
     "op1_divergence": quality.sql(),
     "op7_line_dedup": f"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 o AS (SELECT doc_id, k - 1 AS k, {_NORMAL} AS l FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS k FROM d)),
-f AS (SELECT l, min((doc_id, k)) AS first FROM o WHERE length(l) >= 10 GROUP BY l),
-v AS (SELECT l, first, l AS v FROM f UNION
-      SELECT l, first, left(l, i) || substr(l, i + 2) AS v FROM (SELECT l, first, unnest(range(0, length(l))) AS i FROM f)),
-n AS (SELECT DISTINCT a.l FROM v a JOIN v b ON a.v = b.v AND b.first < a.first AND levenshtein(a.l, b.l) <= 1),
+f AS (SELECT l, min((doc_id, k)) AS first FROM o WHERE l <> '' GROUP BY l),
+v AS (SELECT l, first, l AS v, -1 AS i FROM f WHERE length(l) >= 10 UNION ALL
+      SELECT l, first, left(l, i) || substr(l, i + 2) AS v, i FROM (SELECT l, first, unnest(range(0, length(l))) AS i FROM f WHERE length(l) >= 10)),
+n AS (SELECT DISTINCT a.l FROM v a JOIN v b ON a.v = b.v AND b.first < a.first AND (a.i = b.i OR a.i < 0 OR b.i < 0)),
 g AS (SELECT doc_id, k FROM o JOIN f USING (l) LEFT JOIN n ON n.l = o.l WHERE n.l IS NOT NULL OR f.first < (doc_id, k))
 SELECT d.doc_id, CAST(len(any_value(ls)) AS BIGINT) AS n_lines, count(k) AS n_removed,
        coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k), '') AS removed_lines
