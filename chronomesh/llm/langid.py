@@ -1,11 +1,15 @@
 """Hierarchical language identification (operator 3).
 
 :class:`Model` predicts the language family first; inside it one-versus-one linear
-support vector machines separate the closely related languages. Features are hashed byte n-grams of the whole text's letters.
+support vector machines separate the closely related languages. Features are hashed
+byte n-grams of the whole text's letters. A text may also be in none of the learnt
+languages: :meth:`Model.typical` says how far its n-grams lie from those of the
+language it was given.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import arrow_map, texts
+from chronomesh.llm.common import arrow_map, fresh, texts
 
 #: Families of languages by code (fixed values). A language that is not listed is a family of its own.
 FAMILIES = {
@@ -25,6 +29,8 @@ FAMILIES = {
 FEATURES = 4096
 #: Bound of the labelled rows that the model is fitted on.
 MAX_SAMPLE = 2000
+#: Texts beyond this are in none of the learnt languages.
+MOST_UNTYPICAL = 15.0
 UNKNOWN = "und"
 #: Bytes of letters stay, every other ASCII byte becomes a space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,8 +40,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def features(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed 1- to 3-byte strings, of length 1."""
+def counted(text: str) -> np.ndarray:
+    """How often each feature, a hashed 1- to 3-byte string, occurs."""
     counts = np.zeros(FEATURES, np.float64)
     for at in range(0, len(text), 1 << 19):  # whole texts, in blocks of bounded memory
         data = b" " + b" ".join(text[at : at + (1 << 19)].lower().encode().translate(_LETTERS).split()) + b" "
@@ -45,6 +51,11 @@ def features(text: str) -> np.ndarray:
         for k, codes in enumerate((a, two, three)):
             codes = (codes * np.uint32(2654435761) + np.uint32(k * 40503)) >> np.uint32(20)
             counts += np.bincount(codes, minlength=FEATURES)
+    return counts
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the features, of length 1."""
     total = counts.sum()
     return np.sqrt(counts / total).astype(np.float32) if total else counts.astype(np.float32)
 
@@ -70,12 +81,39 @@ def _squash(x: float) -> float:
 class Model:
     """One-versus-one machines between families and between each family's languages."""
 
-    def __init__(self, x: np.ndarray, labels: list[str]):
+    def __init__(self, x: np.ndarray, labels: list[str], totals: np.ndarray | None = None):
         family = {lang: name for name, langs in FAMILIES.items() for lang in langs}
         names = np.array(labels, dtype=object)
         families = np.array([family.get(lang, lang) for lang in labels], dtype=object)
         self.families = self._duels(x, families)
         self.languages = {f: self._duels(x[families == f], names[families == f]) for f in sorted(set(families))}
+        self.profiles = {} if totals is None else {lang: self._profile(x[names == lang], totals[names == lang]) for lang in sorted(set(names))}
+
+    @staticmethod
+    def _profile(x: np.ndarray, totals: np.ndarray) -> tuple:
+        """Log shares of a language's features, their mean and variance in its texts, and the usual range of :meth:`_distance`."""
+        share = (x.astype(np.float64) ** 2).mean(axis=0) + 0.05 / FEATURES
+        share /= share.sum()
+        logs = np.log(share)
+        own = (x.astype(np.float64) ** 2) @ logs
+        mean = float(np.median(own))
+        spread = float(share @ (logs - share @ logs) ** 2)
+        between = 1.4826 * float(np.median(np.abs(own - mean)))
+        t = (own - mean) / np.sqrt(between**2 + 9 * spread / np.maximum(totals, 1)) if len(own) else np.zeros(1)
+        low, middle = np.quantile(t, [0.05, 0.5])
+        return logs, mean, spread, between, float(middle), max(0.5, float(middle - low))
+
+    def typical(self, x: np.ndarray, total: float, lang: str) -> float:
+        """How far a text's mean log share lies below its language's usual one, in units of that of the lowest twentieth of the learnt texts.
+
+        About 1 and below for texts of the language; the distance allows for the
+        text's length. 0 if the model holds no profile of the language.
+        """
+        if lang not in self.profiles:
+            return 0.0
+        logs, mean, spread, between, middle, unit = self.profiles[lang]
+        t = (float((x.astype(np.float64) ** 2) @ logs) - mean) / np.sqrt(between**2 + 9 * spread / max(total, 1.0) + 1e-12)
+        return (middle - t) / unit
 
     @staticmethod
     def _duels(x: np.ndarray, y: np.ndarray) -> tuple[list[str], list]:
@@ -100,54 +138,59 @@ class Model:
         best = max(range(len(classes)), key=lambda k: (wins[k], total[k], -k))
         return classes[best], float(least[best])
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and how untypical the text is (:meth:`typical`)."""
         if text is None or not self.families[0] or not has_letter(text):
-            return UNKNOWN, 0.0
-        x = features(text)
+            return UNKNOWN, 0.0, math.inf
+        counts = counted(text)
+        x = shares(counts)
         family, p = self._vote(self.families, x)
         lang, q = self._vote(self.languages[family], x)
-        return lang, p * q
+        return lang, p * q, self.typical(x, float(counts.sum()), lang)
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_sample: int = MAX_SAMPLE) -> Model:
     """Learn from a bounded sample of the labelled rows of ``docs``.
 
     ``max_sample`` is shared evenly by the languages; rows are chosen by a hash of
-    their id against a threshold from exact counts. Features come from whole texts.
+    their id and text against a threshold from exact counts, and where repeated
+    rows make them more, the first 2 * ``max_sample`` in the order of that hash
+    are taken. Features come from whole texts.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(lang).count().collect()}  # one row per language
-    each = max(20, max_sample // max(1, len(counts)))
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("h")).where("lang is not null and text is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
     share = F.lit(False)
     for name, n in counts.items():
-        share = share | ((F.col("lang") == name) & (F.pmod("h", F.lit(1_000_000)) < min(1_000_000, -(-1_000_000 * each // n))))
+        share = share | ((F.col("lang") == name) & (F.pmod("h", F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * max_sample / len(counts) / n))))
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column("lang"), "x": [features(t.decode()).astype("<f2").tobytes() for t in texts(batch)]}
+        found = [counted(t.decode()) for t in texts(batch)]
+        return {"lang": batch.column("lang"), "x": [shares(c).astype("<f2").tobytes() for c in found], "total": [float(c.sum()) for c in found]}
 
-    sample = arrow_map(rows.where(share).select("lang", "text"), run, "lang string, x binary").toArrow()
-    order = sorted(zip(sample.column("lang").to_pylist(), sample.column("x").to_pylist()))
+    chosen = rows.where(share).orderBy("h", "lang").limit(2 * max_sample).select("lang", "text")
+    sample = arrow_map(chosen, run, "lang string, x binary, total double").toArrow()
+    order = sorted(zip(*(sample.column(c).to_pylist() for c in ("lang", "x", "total"))))
     if not order:
         return Model(np.zeros((0, FEATURES), np.float32), [])
-    return Model(np.array([np.frombuffer(x, "<f2") for _, x in order]).astype(np.float32), [name for name, _ in order])
+    return Model(np.array([np.frombuffer(x, "<f2") for _, x, _ in order]).astype(np.float32), [name for name, _, _ in order], np.array([n for _, _, n in order]))
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` plus the predicted language and its score, from the text alone.
+def with_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", untypical: str = "untypical") -> DataFrame:
+    """``docs`` plus the predicted language, its score and how untypical the text is of it, from the text alone.
 
-    ``und`` and 0 for a null text, one without a letter, or a model without
+    ``und``, 0 and infinity for a null text, one without a letter, or a model without
     languages. All rows and columns stay; a column of ``docs`` with one of the
     new names is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
+    base = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower(), untypical.lower())]
     types = dict(docs.dtypes)
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [shared.value.predict(t if t is None else t.decode()) for t in texts(batch, text)]
-        return {c: batch.column(c) for c in base} | {lang: [f[0] for f in found], score: [f[1] for f in found]}
+        return {c: batch.column(c) for c in base} | {c: [f[k] for f in found] for k, c in enumerate((lang, score, untypical))}
 
-    return arrow_map(docs, run, ", ".join([*(f"`{c}` {types[c]}" for c in base), f"{lang} string, {score} double"]))
+    return arrow_map(docs, run, ", ".join([*(f"`{c}` {types[c]}" for c in base), f"{lang} string, {score} double, {untypical} double"]))
 
 
 def learnable(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -163,8 +206,14 @@ def digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.05, key: str = "doc_id") -> DataFrame:
-    """Only documents whose language is recognised with at least this score; columns stay."""
-    names = {"lang": "_lang_pred_of_filter", "score": "_score_of_filter"}
+def keep_known(docs: DataFrame, most_untypical: float = MOST_UNTYPICAL, key: str = "doc_id") -> DataFrame:
+    """Only documents in one of the learnt languages; rows and columns stay as they are.
+
+    A document goes if its text is null or has no letter, or if its n-grams are
+    more untypical of the language it was given than ``most_untypical`` (see
+    :meth:`Model.typical`): another language, random letters. With nothing to
+    learn from all documents go.
+    """
+    names = {c: fresh(docs, f"{c}_of_filter") for c in ("lang", "score", "untypical")}
     found = with_language(docs, fit(learnable(docs, key), key=key), **names)
-    return found.where((F.col(names["lang"]) != UNKNOWN) & (F.col(names["score"]) >= least_score)).select(*docs.columns)
+    return found.where((F.col(names["lang"]) != UNKNOWN) & (F.col(names["untypical"]) <= most_untypical)).select(*docs.columns)
