@@ -31,13 +31,16 @@ MARKERS = {
     "system": ("system", "instruction", "instructions", "sys"),
     "user": ("user", "human", "question", "customer", "q"),
 }
+#: Names of speakers that no marker tells, and beginnings of lines that are no speakers (fixed values).
+PEOPLE = {"assistant": ("Mira", "Oleg"), "system": ("Desk", "Desk"), "user": ("Jonas", "Ines")}
+MISLEADING = ("Note: ", "Question: ", "Example: ", "[Model] ")
 _ROLE_OF = {w: ROLES.index(r) for r, words in MARKERS.items() for w in words}
 _MARK = re.compile(r"\s*(?:#{1,6}\s*|<\|?|\[|\*\*)?(?P<w>[A-Za-z]{1,12})\s*(?:\|?>|\]|\*\*|:|>)+\s*")
 _LENGTHS = (0, 20, 80, 200, 500)
 #: Observation codes: marker (none, a role, other) x length x ends with a question mark.
 CODES = (len(ROLES) + 2) * (len(_LENGTHS) + 1) * 2
 STATES = 2 * len(ROLES)
-_LINE = "conv long, turn long, tag long, line_no int, line string, role string"
+_LINE = "conv long, turn long, tag long, line_no int, line string, role string, code int"
 _NONE = -1e18
 
 
@@ -60,7 +63,9 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of a table (conv_id, turn, role, text), line by line.
 
     Turns begin with a marker in the conversation's own style; about a quarter,
-    by a hash of conversation and turn, have none. Rows without conversation or
+    by a hash of conversation and turn, have none. In one conversation of eight
+    speakers go by names that say nothing of their role, and one further line in
+    sixteen begins with a word that looks like a marker. Rows without conversation or
     turn are left out, a null text is one empty line, repeated rows count once.
     """
     styles = ("{}: ", "### {}: ", "<|{}|> ", "[{}] ", "**{}:** ")
@@ -68,15 +73,17 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         out = []
         for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "turn", "role", "text"))):
-            names = MARKERS.get(role or "", (role or "",))
             k = zlib.crc32(str(conv).encode())
+            names = MARKERS.get(role or "", (role or "",)) if k // 1000 % 8 else PEOPLE.get(role or "", (role or "",))
             tag = zlib.crc32(f"{role}\x00{text}".encode())
             marked = bool(role) and zlib.crc32(f"{conv}|{turn}".encode()) % 4
             for n, line in enumerate((text or "").split("\n")):
                 if n == 0 and marked:
                     line = styles[k % len(styles)].format(names[k // 7 % min(2, len(names))].capitalize()) + line
-                out.append((conv, turn, tag, n, line, role))
-        return dict(zip(("conv", "turn", "tag", "line_no", "line", "role"), zip(*out)))
+                elif n and zlib.crc32(f"{conv}|{turn}|{n}".encode()) % 16 == 0:
+                    line = MISLEADING[k % len(MISLEADING)] + line
+                out.append((conv, turn, tag, n, line, role, observe(line)))
+        return dict(zip(("conv", "turn", "tag", "line_no", "line", "role", "code"), zip(*out)))
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return arrow_map(rows.where("conv is not null and turn is not null").distinct(), run, _LINE)
@@ -158,28 +165,46 @@ def _ordered(lines: DataFrame) -> DataFrame:
     return materialize(sorted_lines.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "lines")
 
 
-def _in_parts(ordered: DataFrame) -> DataFrame:
+def _in_parts(ordered: DataFrame, *columns: str) -> DataFrame:
+    """Part and some columns of the lines, each part in a partition of its own, in order."""
     parts = partitions_for(ordered.sparkSession)
-    return ordered.repartition(parts, "part").sortWithinPartitions("part", "place")
+    return ordered.select("part", "place", *columns).repartitionById(parts, "part").sortWithinPartitions("part", "place")
 
 
-def fit(ordered: DataFrame) -> Hmm:
-    """Counts over all labelled lines of conversations whose crc32, as text, leaves a rest other than 1 when divided by 3."""
-    learn = ordered.where((F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(3)) != 1) & F.col("role").isin(*ROLES))
+def _ends(ordered: DataFrame) -> dict[int, tuple[int, int, bool]]:
+    """Per part: its first and last conversation, and whether the first begins there. One row a part comes to the driver."""
+    found = ordered.groupBy("part").agg(F.min_by("conv", "place").alias("first"), F.max_by("conv", "place").alias("last")).collect()
+    out, before = {}, None
+    for part, first, last in sorted(map(tuple, found)):
+        out[part] = (first, last, first != before)
+        before = last
+    return out
+
+
+def fit(ordered: DataFrame, ends: dict[int, tuple[int, int, bool]]) -> Hmm:
+    """Counts over all labelled lines of conversations whose crc32, as text, leaves a rest other than 1 when divided by 3.
+
+    A conversation starts with its first line, whatever its turn's number; lines
+    without a known role count for nothing and part those around them.
+    """
+    role = F.coalesce(*(F.when(F.col("role") == r, F.lit(k)) for k, r in enumerate(ROLES)), F.lit(-1))
+    learn = ordered.where(F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(3)) != 1).withColumn("state", F.when(role < 0, -1).otherwise(2 * role + (F.col("line_no") > 0).cast("int")))
+    shared = ordered.sparkSession.sparkContext.broadcast(ends)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CODES, STATES))
-        for _, _, run in _runs(batches):
-            state = np.array([2 * ROLES.index(r) + (n > 0) for r, n in zip(run["role"].to_pylist(), run["line_no"].to_pylist())])
-            codes = [observe(x or "") for x in run["line"].to_pylist()]
-            if run["turn"][0].as_py() == 0 and state[0] % 2 == 0:
+        for part, conv, run in _runs(batches):
+            state, codes = run["state"].to_numpy(), run["code"].to_numpy()
+            first, _, begins = shared.value[part]
+            if (conv != first or begins) and state[0] >= 0 and state[0] % 2 == 0:
                 start[state[0]] += 1
-            np.add.at(move, (state[:-1], state[1:]), 1)
-            np.add.at(emit, (codes, state), 1)
+            both, own = (state[:-1] >= 0) & (state[1:] >= 0), state >= 0
+            np.add.at(move, (state[:-1][both], state[1:][both]), 1)
+            np.add.at(emit, (codes[own], state[own]), 1)
         rows = [(k, int(i), int(n[i])) for k, n in enumerate((start, move.ravel(), emit.ravel())) for i in np.flatnonzero(n)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ([], [], []))], ["kind", "i", "n"])
 
-    found = _in_parts(learn).mapInArrow(count, "kind long, i long, n long").groupBy("kind", "i").agg(F.sum("n").alias("n"))
+    found = _in_parts(learn, "conv", "state", "code").mapInArrow(count, "kind long, i long, n long").groupBy("kind", "i").agg(F.sum("n").alias("n"))
     tables = [np.zeros(STATES), np.zeros(STATES * STATES), np.zeros(CODES * STATES)]
     for kind, i, n in found.collect():  # at most CODES * STATES + STATES * (STATES + 1) rows
         tables[kind][i] = n
@@ -208,21 +233,22 @@ def _chain(parts: list[dict], hmm: Hmm) -> dict[int, tuple[np.ndarray | None, np
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Recover roles and turns of transcripts given as lines (conv, turn, tag, line_no, line, role).
+    """Recover roles and turns of transcripts given as lines (conv, turn, tag, line_no, line, role, code).
 
-    ``role`` is used for learning only. Per line: conv, turn, line_no, role,
+    ``code`` is :func:`observe` of the line; ``role`` is used for learning only. Per line: conv, turn, line_no, role,
     role_pred, begins (whether a turn begins here), rendered: the line without its
     marker, after ``<|role|>`` on a line of its own where a turn begins. An empty
     table gives no row; with nothing to learn from all states are alike.
     """
     ordered = _ordered(lines)
-    hmm = fit(ordered)
+    begin_end = _ends(ordered)
+    hmm = fit(ordered, begin_end)
     shared = ordered.sparkSession.sparkContext.broadcast(hmm)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, now = shared.value, None
         for part, conv, run in _runs(batches):
-            codes = np.array([observe(x or "") for x in run["line"].to_pylist()])
+            codes = run["code"].to_numpy()
             if now is None or now["part"] != part:
                 if now is not None:
                     yield pa.RecordBatch.from_pylist([now])
@@ -238,17 +264,17 @@ def parse(lines: DataFrame) -> DataFrame:
         for b in summary(batches):
             yield b.select(["part", "first", "last", "runs", "head", "alone", "tail"]).set_column(0, "part", b.column("part").cast(pa.int32()))
 
-    found = [r.asDict() for r in _in_parts(ordered).mapInArrow(tidy, fields).collect()]  # one row a part
+    found = [r.asDict() for r in _in_parts(ordered, "conv", "code").mapInArrow(tidy, fields).collect()]  # one row a part
     edges = ordered.sparkSession.sparkContext.broadcast(_chain(found, hmm))
-    ends = ordered.sparkSession.sparkContext.broadcast({r["part"]: (r["first"], r["last"]) for r in found})
+    ends = ordered.sparkSession.sparkContext.broadcast(begin_end)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for part, conv, run in _runs(batches):
-            first, last = ends.value[part]
+            first, last, _ = ends.value[part]
             before, behind = edges.value[part]
             text = [x or "" for x in run["line"].to_pylist()]
-            state = model.decode(np.array([observe(x) for x in text]), before if conv == first else None, behind if conv == last else None)
+            state = model.decode(run["code"].to_numpy(), before if conv == first else None, behind if conv == last else None)
             roles = [ROLES[s // 2] for s in state]
             begins = [s % 2 == 0 for s in state]
             rendered = [f"<|{r}|>\n{split_marker(x)[1]}" if b else x for r, b, x in zip(roles, begins, text)]
@@ -258,11 +284,17 @@ def parse(lines: DataFrame) -> DataFrame:
                 own = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in own.items()}
                 yield pa.RecordBatch.from_arrays([*own.values(), pa.array(roles[cut]), pa.array(begins[cut]), pa.array(rendered[cut])], [*own, "role_pred", "begins", "rendered"])
 
-    return _in_parts(ordered).mapInArrow(decode, "conv long, turn long, line_no int, role string, role_pred string, begins boolean, rendered string")
+    return _in_parts(ordered, "conv", "turn", "line_no", "line", "role", "code").mapInArrow(decode, "conv long, turn long, line_no int, role string, role_pred string, begins boolean, rendered string")
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """Every line of the conversations' transcripts with its recovered role and canonical rendering."""
+    """Every line of the conversations' transcripts with its recovered role and canonical rendering.
+
+    Columns beside conv_id, turn, role and text are not read. Rows without
+    conversation or turn give no line, a null text is one empty line, a null or
+    unknown role is not learnt from, repeated rows count once; turns that share a
+    number are ordered by a hash; an empty table gives no row.
+    """
     found = parse(transcript_lines(conversations))
     held = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(3)) == 1
     return found.select(F.col("conv").alias("conv_id"), "turn", "line_no", held.alias("held_out"), "role", "role_pred", "begins", "rendered")
