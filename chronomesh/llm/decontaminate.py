@@ -82,22 +82,22 @@ def _rolled(columns) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
-    """The benchmark in parts whose text is within BLOCK_BYTES each (one hash range a part)."""
-    bench = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    """The benchmark's distinct rows in parts whose text is within BLOCK_BYTES each (one hash range a part)."""
+    bench = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     size = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = 1 if size <= BLOCK_BYTES else 2 * -(-size // BLOCK_BYTES)
     return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """All columns of ``docs`` plus three new ones, whose names are returned by role.
+    """All columns of ``docs`` plus four new ones, whose names are returned by role.
 
     ``words`` (long) number of words, ``hits`` (binary) a bit per word that lies
-    in a benchmark window, ``items`` (array of string) the items met, sorted.
+    in a benchmark window, ``n_hits`` (long) their number, ``items`` (array of string) the items met, sorted.
     A null text has no words; items with a null id or text, or without words,
     are no items; an item met twice counts once; columns may have any names.
     """
-    names = {k: fresh(docs, f"{k}_of_scan") for k in ("words", "hits", "items")}
+    names = {k: fresh(docs, f"{k}_of_scan") for k in ("words", "hits", "n_hits", "items")}
     out, many = docs, _blocks(benchmark, item, item_text)
     for k, block in enumerate(many):
         found = docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1].encode()) for r in block.collect()], n))
@@ -105,7 +105,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str
 
         def scan(batch: pa.RecordBatch, found=found, first=k == 0) -> dict:
             windows = found.value
-            n_words, hits, items = [], [], []
+            n_words, hits, n_hits, items = [], [], [], []
             before = repeat((b"", [])) if first else zip(batch.column(names["hits"]).to_pylist(), batch.column(names["items"]).to_pylist())
             for t, (bits, had) in zip(texts(batch, text), before):
                 words = (t or b"").translate(NORMAL).split()
@@ -114,10 +114,11 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str
                     hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
                 n_words.append(len(words))
                 hits.append(np.packbits(hit).tobytes())
+                n_hits.append(int(hit.sum()))
                 items.append(sorted({*had, *(windows.items[i] for i in who)}))
-            return {c: batch.column(c) for c in base} | {names["words"]: n_words, names["hits"]: hits, names["items"]: items}
+            return {c: batch.column(c) for c in base} | {names["words"]: n_words, names["hits"]: hits, names["n_hits"]: n_hits, names["items"]: items}
 
-        schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {names['words']} long, {names['hits']} binary, {names['items']} array<string>"
+        schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {names['words']} long, {names['hits']} binary, {names['n_hits']} long, {names['items']} array<string>"
         out = arrow_map(out, scan, schema)
         if k + 1 < len(many):
             out = materialize(out, "scan")
@@ -130,20 +131,13 @@ def digest(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int =
     return found.select(
         *keys,
         F.col(c["words"]).alias("n_words"),
-        _ones(F.col(c["hits"])).alias("n_hit"),
+        F.col(c["n_hits"]).alias("n_hit"),
         F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.col(c["items"])), 256).alias("items_sha256"),
         (F.size(c["items"]) >= least_items).alias("contaminated"),
     )
 
 
-def _ones(binary):
-    """Number of one bits: the hexadecimal digits' counts."""
-    digits = F.hex(binary)
-    counts = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
-    return sum((F.length(F.regexp_replace(digits, f"[^{d}]", "")) * k for k, d in counts.items()), F.lit(0)).cast("long")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 2, text: str = "text") -> DataFrame:
     """Remove benchmark passages: documents and spans.
 
