@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomesh.llm import decontaminate, langid, linededup, neardup, packing
+from chronomesh.llm import decontaminate, langid, linededup, packing, simhash
 from chronomesh.llm.common import materialize
 from chronomesh.llm.queries import tokenizer_path
 
@@ -31,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group whose five-word shingles are similar to 0.8 or more."""
-    return neardup.deduplicate(docs)
+    return simhash.deduplicate(docs, width=5, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
