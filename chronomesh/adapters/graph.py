@@ -10,7 +10,7 @@ from pydantic import BaseModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.adapters.base import BaseModalityAdapter, Output
+from chronomesh.adapters.base import MAX_ROWS, BaseModalityAdapter, Output
 from chronomesh.frame import EventFrame
 from chronomesh.functions.geo import plane_distance
 from chronomesh.functions.time import parse_duration, time_floor
@@ -151,13 +151,11 @@ class GraphAdapter(BaseModalityAdapter):
         return found
 
     def snapshots(self, source: EventFrame | DataFrame) -> DataFrame:
-        """snapshot, node, mean features, for all nodes in all snapshots that have events; absent ones are 0."""
+        """snapshot, node, mean features, of the nodes that have events in the snapshot; ``convert`` fills in the others with 0."""
         node, names = self.node(source), self.features(source, self.config.feature_cols, self.node(source))
         rows = self.data(source).where(F.col(node).isNotNull()).withColumn("snapshot", time_floor(self.timestamp(source), self.config.snapshot_interval or "1d"))
-        means = rows.groupBy("snapshot", F.col(node).alias("node")).agg(*(F.avg(self.numeric(c)).alias(c) for c in names), F.count("*").alias("_rows"))
-        nodes = rows.select(F.col(node).alias("node")).distinct().agg(F.collect_list("node").alias("_nodes"))
-        spine = rows.select("snapshot").distinct().join(F.broadcast(nodes)).select("snapshot", F.explode("_nodes").alias("node"))
-        return spine.join(means, ["snapshot", "node"], "left").select("snapshot", "node", *(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in names))
+        means = rows.groupBy("snapshot", F.col(node).alias("node")).agg(*(F.coalesce(F.avg(self.numeric(c)), F.lit(0.0)).alias(c) for c in names), F.count("*").alias("_rows"))
+        return means.select("snapshot", "node", *names)
 
     def convert(self, event_frame: EventFrame | DataFrame) -> GraphOutput:
         nodes = self.gather(self.nodes(event_frame).orderBy("n"))
@@ -174,9 +172,13 @@ class GraphAdapter(BaseModalityAdapter):
         shots = []
         if self.config.snapshot_interval:
             table = self.gather(self.snapshots(event_frame).orderBy("snapshot", "node"))
-            values, n = matrix(table), max(1, len(ids))
-            stamps = table["snapshot"].to_pylist()[::n]
-            shots = [GraphSnapshot(s, values[k * n : (k + 1) * n], index) for k, s in enumerate(stamps)]
+            values, stamps, place = matrix(table), table["snapshot"].to_pylist(), [number[v] for v in table["node"].to_pylist()]
+            times = sorted(set(stamps))
+            if len(times) * len(ids) > MAX_ROWS:
+                raise ValueError(f"more than {MAX_ROWS} nodes in snapshots; use the DataFrame form")
+            full = np.zeros((len(times), len(ids), len(names)), self.dtype)
+            full[np.searchsorted(np.array(times), np.array(stamps)) if stamps else [], place] = values
+            shots = [GraphSnapshot(s, full[k], index) for k, s in enumerate(times)]
         has = bool(self.config.edge_feature_cols)
         return GraphOutput(matrix(nodes), index, weight.reshape(-1, 1) if has else None, dense, ids, names, ["weight"] if has else [], shots, {"node_features": self.dtype, "edge_index": "int64"})
 

@@ -59,11 +59,12 @@ class StreamOutput(Output):
     def n_event_types(self) -> int:
         return len(self.event_type_names)
 
-    def get_sequences_by_type(self) -> dict[str, np.ndarray]:
-        """Times of each event type."""
-        if self.event_types is None:
-            return {}
-        return {name: self.timestamps[self.event_types == k] for k, name in enumerate(self.event_type_names)}
+    def get_sequences_by_type(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Times and states by the number of the event type (-1: none); without types all under 0."""
+        kinds = np.zeros(self.n_events, np.int64) if self.event_types is None else self.event_types
+        order = np.argsort(kinds, kind="stable")
+        numbers, first = np.unique(kinds[order], return_index=True) if len(kinds) or self.event_types is not None else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        return {int(k): (self.timestamps[at], self.states[at]) for k, at in zip(numbers, np.split(order, first[1:]))}
 
 
 @ADAPTERS.decorator("stream", tags={"stream", "ode", "continuous"}, config_model=StreamAdapterConfig)
@@ -107,7 +108,7 @@ class StreamAdapter(BaseModalityAdapter):
         if c.event_type_col:
             values = rows.where(F.col(c.event_type_col).isNotNull()).select(F.col(c.event_type_col).alias("_v")).distinct()
             values = values.withColumn("_type", F.row_number().over(Window.orderBy("_v")) - 1)  # one row a type
-            rows = rows.join(F.broadcast(values), F.col(c.event_type_col) == F.col("_v"), "left")
+            rows = rows.join(values, F.col(c.event_type_col) == F.col("_v"), "left")
         df, window = sequenced(rows, [], order, ["time"], 1)
         df = df.withColumn("inter_time", F.coalesce(F.col("time") - F.lag("time").over(window), F.lit(0.0)))
         columns = [*rows.columns, "inter_time"]
@@ -128,7 +129,7 @@ class StreamAdapter(BaseModalityAdapter):
         block = lambda names: np.column_stack([table[x].to_numpy() for x in names]).astype(self.dtype) if names else np.zeros((table.num_rows, 0), self.dtype)
         types, names = None, []
         if c.event_type_col:
-            names = [r[0] for r in rows.where(F.col(c.event_type_col).isNotNull()).select(c.event_type_col).distinct().orderBy(c.event_type_col).collect()]
+            names = self.gather(rows.where(F.col(c.event_type_col).isNotNull()).select(c.event_type_col).distinct().orderBy(c.event_type_col))[0].to_pylist()
             types = table["event_type"].fill_null(-1).to_numpy().astype(np.int64)
         gaps = table["inter_time"].to_numpy().astype(self.dtype) if c.return_inter_times else np.zeros(0, self.dtype)
         return StreamOutput(table["time"].to_numpy().astype(self.dtype), block(states), gaps, types, block(intensity) if intensity else None, origin, scale, states, names, {"timestamps": self.dtype, "states": self.dtype})

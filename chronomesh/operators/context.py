@@ -143,7 +143,8 @@ class BaseJoiner(ABC):
 
 
 def _columns(source: BaseContextSource, df: DataFrame, *keys: str | None) -> list[str]:
-    return [c for c in (source.schema.attribute_cols or df.columns) if c not in keys]
+    """The source's attributes that its table has, without the keys."""
+    return [c for c in (source.schema.attribute_cols or df.columns) if c in df.columns and c not in keys]
 
 
 @dataclass

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.frame import EventFrame
 from chronomesh.functions.time import micros, parse_duration
-from chronomesh.operators.kernels import event_order, own_rows, sequenced
+from chronomesh.operators.kernels import BLOCK, HALO, event_order, own_rows, sequenced, spread_groups
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
 #: Most values that may become columns of their own.
@@ -39,12 +39,21 @@ def aggregate_by_category(event_frame: EventFrame, group_by: Sequence[str], cate
 
 
 def moving_window_aggregation(event_frame: EventFrame, window: str, group_by: Sequence[str], value_col: str, agg: str = "mean", output_col: str | None = None) -> EventFrame:
-    """Aggregate of the group's rows of the last ``window`` of time, the row's own time included."""
+    """Aggregate of the group's rows of the last ``window`` of time, the row's own time included.
+
+    Without groups, and where groups are spread, time is cut into blocks as long as
+    the window, and each row goes to its own block and, for its value, to the next.
+    """
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {agg}")
-    out = output_col or f"{value_col}_{agg}_{window}"
-    over = Window.partitionBy(*group_by).orderBy("_us").rangeBetween(-(parse_duration(window) - 1), 0)
-    df = event_frame.df.withColumn("_us", micros(event_frame.schema.timestamp_col)).withColumn(out, AGGREGATES[agg](value_col).over(over)).drop("_us")
+    out, width = output_col or f"{value_col}_{agg}_{window}", parse_duration(window)
+    df, keys = event_frame.df.withColumn("_us", micros(event_frame.schema.timestamp_col)), list(group_by)
+    if spread_groups(df) or not keys:
+        own = df.withColumns({BLOCK: F.floor(F.col("_us") / width), HALO: F.lit(False)})
+        later = own.select(*keys, value_col, "_us", (F.col(BLOCK) + 1).alias(BLOCK), F.lit(True).alias(HALO))
+        df, keys = own.unionByName(later, allowMissingColumns=True), [*keys, BLOCK]
+    over = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(width - 1), 0)
+    df = own_rows(df.withColumn(out, AGGREGATES[agg](value_col).over(over)), [*(c for c in event_frame.df.columns if c != out), out])
     return event_frame.produced(df, "moving_window_aggregation", [out], [value_col, *group_by], window=window, agg=agg)
 
 

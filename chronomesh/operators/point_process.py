@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from chronomesh.frame import EventFrame
 from chronomesh.functions.geo import METRES_PER_DEGREE, haversine
 from chronomesh.functions.time import micros, seconds, whole_seconds
 from chronomesh.operators.kernels import decayed_sum, event_order, neighbours, own_rows, running, sequenced
-from chronomesh.operators.spatial import coordinates
+from chronomesh.operators.spatial import coordinates, unused
 from chronomesh.pipeline import Step
 from chronomesh.plans.stage import staged
 from chronomesh.registry import step
@@ -202,7 +203,8 @@ class PairCorrelationStep(Step):
     edge_correction: bool = True
 
     def __post_init__(self) -> None:
-        positive(max_distance=self.max_distance, n_bins=self.n_bins)
+        positive(max_distance=self.max_distance)
+        unused(self, n_bins=50, edge_correction=True)
 
     def run(self, event_frame: EventFrame) -> EventFrame:
         name, points = "nearest_neighbor_distance", _points(event_frame)
@@ -234,7 +236,8 @@ class KFunctionStep(Step):
     transform: str = "L"
 
     def __post_init__(self) -> None:
-        positive(max_distance=self.max_distance, n_bins=self.n_bins)
+        positive(max_distance=self.max_distance)
+        unused(self, n_bins=50, edge_correction="ripley")
         if self.transform not in ("K", "L", "H"):
             raise ValueError(f"unknown transform: {self.transform}")
 
@@ -274,6 +277,14 @@ def _ranked(frame: EventFrame, keys: Sequence[str]) -> tuple[DataFrame, Column,
     return df, F.col("_rank") - 1, F.col("_rank_total")
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n, from a table up to 63 and by Euler and Maclaurin's series beyond."""
+    table = F.array(*(F.lit(math.fsum(1 / k for k in range(1, m + 1))) for m in range(64)))
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = F.ln(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0)))
+    return F.when(n < 64, F.get(table, F.greatest(F.least(n, F.lit(63)), F.lit(0)).cast("int"))).otherwise(series)
+
+
 @step("hazard_rate", "temporal", "continuous")
 @dataclass
 class HazardRateStep(Step):
@@ -284,13 +295,17 @@ class HazardRateStep(Step):
     n_intervals: int = 10
     group_cols: Sequence[str] = ()
 
+    def __post_init__(self) -> None:
+        unused(self, method="nelson_aalen", bandwidth=1.0, n_intervals=10)
+
     def run(self, event_frame: EventFrame) -> EventFrame:
         order, keys = event_order(event_frame), list(self.group_cols)
         ts, columns = order[0], event_frame.df.columns
         df, i, n = _ranked(event_frame, keys)
         df = df.withColumns({"_i": i, "_c": n})
         share = 1.0 / (F.col("_c") - F.col("_i"))
-        df = running(df, keys, order, {"cumulative_hazard": share})
+        # the sum over the rows so far is a difference of two harmonic numbers
+        df = df.withColumn("cumulative_hazard", harmonic(F.col("_c")) - harmonic(F.col("_c") - F.col("_i") - 1))
         df, window = sequenced(df, keys, order, [], 1)
         gap = (micros(ts) - micros(F.lag(ts).over(window))) / F.lit(1e6)
         rate = F.when(F.col("_i") == 0, 1.0 / F.col("_c")).when(gap > 0, share / F.greatest(gap, F.lit(1.0))).otherwise(F.lit(0.0))
@@ -302,17 +317,27 @@ class HazardRateStep(Step):
 @step("survival_table", "temporal", "continuous")
 @dataclass
 class SurvivalTableStep(Step):
-    """Kaplan-Meier with an end at every row, Greenwood's bounds clipped to [0, 1]: S_i = (n - i - 1) / n."""
+    """Kaplan-Meier with an end at every row, Greenwood's bounds clipped to [0, 1]: S_i = (n - i - 1) / n.
+
+    The bounds are as many deviations away as the normal distribution has at the
+    confidence level; 1.96 and 1.645 at 0.95 and 0.90.
+    """
 
     method: str = "kaplan_meier"
     confidence_level: float = 0.95
     time_points: Sequence[float] | None = None
     group_cols: Sequence[str] = ()
 
+    def __post_init__(self) -> None:
+        unused(self, method="kaplan_meier", time_points=None)
+        if not 0 < self.confidence_level < 1:
+            raise ValueError("confidence_level must lie between 0 and 1")
+
     def run(self, event_frame: EventFrame) -> EventFrame:
         columns = event_frame.df.columns
         df, i, n = _ranked(event_frame, self.group_cols)
-        z = 1.96 if self.confidence_level == 0.95 else 1.645
+        # the two usual levels by the figures that everybody writes
+        z = {0.95: 1.96, 0.9: 1.645}.get(self.confidence_level) or NormalDist().inv_cdf((1 + self.confidence_level) / 2)
         left = n - i - 1
         s = left / n
         error = F.when(left > 0, s * F.sqrt(1.0 / F.greatest(left, F.lit(1)) - 1.0 / n)).otherwise(F.lit(0.0))

@@ -225,27 +225,56 @@ class KDEStep(Step):
         return event_frame.produced(df, self.step_name, [self.output_col], [lon, lat], ["spatial"])
 
 
-def _adjacent(cells: DataFrame, cell: str, value: str, mode: str) -> DataFrame:
-    """Mean and sum of ``value`` over the queen or rook neighbours of grid cells."""
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (mode == "queen" or not i or not j)]
+#: Cells that may lie within the distance of a neighbourhood: they are enumerated.
+MAX_AROUND = 10_000
+
+
+def _around(mode: str, distance: float | None) -> list[tuple[int, int]]:
+    """Steps in rows and columns from a cell to its neighbours on the grid, itself left out."""
+    reach = 1 if mode in ("queen", "rook") else int(distance)
+    if (2 * reach + 1) ** 2 > MAX_AROUND:
+        raise ValueError(f"more than {MAX_AROUND} cells within a distance of {distance} cells")
+    near = {"queen": lambda i, j: True, "rook": lambda i, j: not i or not j, "distance": lambda i, j: i * i + j * j <= distance * distance}[mode]
+    steps = range(-reach, reach + 1)
+    return [(i, j) for i in steps for j in steps if (i or j) and near(i, j)]
+
+
+def _adjacent(cells: DataFrame, cell: str, value: str, around: list[tuple[int, int]]) -> DataFrame:
+    """Mean, sum and number of ``value`` over the cells around; added up from the least, whatever the order of the rows."""
     shifted = cells.select(F.explode(F.array(*(F.col(cell) + (i * ROW + j) for i, j in around))).alias(cell), F.col(value).alias("_v"))
-    return shifted.groupBy(cell).agg(F.avg("_v").alias("_near_mean"), F.sum("_v").alias("_near_sum"))
+    near = shifted.where("_v is not null").groupBy(cell).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))  # at most len(around)
+    total = F.aggregate("_vs", F.lit(0.0), lambda a, x: a + x)
+    return near.select(cell, (total / F.size("_vs")).alias("_near_mean"), total.alias("_near_sum"), F.size("_vs").alias("_near_n"))
 
 
-def _local(cells: DataFrame, cell: str, value: str, mode: str, how: str) -> Column | DataFrame:
-    """Adds ``_local``: the mean or sum over a cell and its neighbours in the order of ids, or on the grid (without itself)."""
+def _local_mean(cells: DataFrame, cell: str, value: str, mode: str, distance: float | None) -> DataFrame:
+    """Adds ``_local``: the mean over a cell and its neighbours in the order of ids, or over the cells around it on the grid."""
     if mode == "sorted":
         over = Window.orderBy(cell).rowsBetween(-1, 1)  # one row a cell
-        return cells.withColumn("_local", (F.avg if how == "mean" else F.sum)(value).over(over))
-    near = _adjacent(cells, cell, value, mode)
-    total = F.col("_near_mean") if how == "mean" else F.coalesce(F.col("_near_sum"), F.lit(0.0)) + F.col(value)
-    return cells.join(near, cell, "left").withColumn("_local", total).drop("_near_mean", "_near_sum")
+        return cells.withColumn("_local", F.avg(value).over(over))
+    near = _adjacent(cells, cell, value, _around(mode, distance))
+    return cells.join(near, cell, "left").withColumn("_local", F.col("_near_mean")).drop("_near_mean", "_near_sum", "_near_n")
 
 
-def _mode(mode: str) -> str:
-    if mode not in ("sorted", "queen", "rook"):
+def _checked_mode(mode: str, distance: float | None) -> None:
+    if mode not in ("sorted", "queen", "rook", "distance"):
         raise ValueError(f"unknown neighbourhood: {mode}")
-    return mode
+    if (mode == "distance") != (distance is not None):
+        raise ValueError("distance_threshold, in cells, goes with the mode distance")
+    if distance is not None and distance < 1:
+        raise ValueError("distance_threshold must be a cell at least")
+
+
+def unused(step: Step, **defaults: Any) -> None:
+    """Refuse parameters that an interface has and this step does nothing with, when they are set."""
+    for name, value in defaults.items():
+        if getattr(step, name) != value:
+            raise ValueError(f"{type(step).__name__} does not support {name}={getattr(step, name)!r}")
+
+
+def cell_mean(df: DataFrame, col: str) -> Column:
+    """The mean as a double; of decimals the sum is exact, and so the same in any order of the rows."""
+    return F.sum(col).cast("double") / F.count(col) if dict(df.dtypes)[col].startswith("decimal") else F.avg(col)
 
 
 @step("spatial_lag", "spatial")
@@ -254,7 +283,8 @@ class SpatialLagStep(Step):
     """``{col}_spatial_lag``: means of neighbouring cells' means.
 
     ``mode="sorted"`` takes the three rows around each row in the order of cell,
-    time and id; ``queen`` and ``rook`` take the cells around on the grid.
+    time and id; ``queen`` and ``rook`` take the cells around on the grid, and
+    ``distance`` those up to ``distance_threshold`` cells away.
     """
 
     value_cols: Sequence[str]
@@ -264,11 +294,15 @@ class SpatialLagStep(Step):
     distance_threshold: float | None = None
     mode: str = "sorted"
 
+    def __post_init__(self) -> None:
+        _checked_mode(self.mode, self.distance_threshold)
+        unused(self, weights="queen", k=4)
+
     def run(self, event_frame: EventFrame) -> EventFrame:
         cell, df = self.neighbor_col, event_frame.df
         made = [f"{c}_spatial_lag" for c in self.value_cols]
-        means = df.groupBy(cell).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(self.value_cols)))
-        if _mode(self.mode) == "sorted":
+        means = df.groupBy(cell).agg(F.count("*").alias("_n"), *(cell_mean(df, c).alias(f"_m{i}") for i, c in enumerate(self.value_cols)))
+        if self.mode == "sorted":
             by_id = Window.orderBy(cell)  # one row a cell
             for i in range(len(made)):
                 means = means.withColumns({f"_p{i}": F.lag(f"_m{i}").over(by_id), f"_q{i}": F.lead(f"_m{i}").over(by_id)})
@@ -285,7 +319,7 @@ class SpatialLagStep(Step):
         else:
             lags = means.select(cell)
             for i, name in enumerate(made):
-                lags = lags.join(_local(means.select(cell, f"_m{i}"), cell, f"_m{i}", self.mode, "mean").select(cell, F.col("_local").alias(name)), cell)
+                lags = lags.join(_local_mean(means.select(cell, f"_m{i}"), cell, f"_m{i}", self.mode, self.distance_threshold).select(cell, F.col("_local").alias(name)), cell)
             out = df.join(lags, cell, "left")
         out = out.select(*(c for c in df.columns if c not in made), *made)
         return event_frame.produced(out, self.step_name, made, [*self.value_cols, cell], ["spatial"])
@@ -301,14 +335,19 @@ class LocalMoranStep(Step):
     weights: str = "queen"
     permutations: int = 99
     mode: str = "sorted"
+    distance_threshold: float | None = None
+
+    def __post_init__(self) -> None:
+        _checked_mode(self.mode, self.distance_threshold)
+        unused(self, weights="queen", permutations=99)
 
     def run(self, event_frame: EventFrame) -> EventFrame:
         cell, v = self.spatial_unit_col, self.value_col
-        cells = event_frame.df.groupBy(cell).agg(F.avg(v).alias("_m"))
+        cells = event_frame.df.groupBy(cell).agg(cell_mean(event_frame.df, v).alias("_m"))
         stats = cells.agg(F.avg("_m").alias("_mean"), F.stddev_samp("_m").alias("_std"))
         std = F.when(F.col("_std").isNull() | (F.col("_std") == 0), F.lit(1.0)).otherwise(F.col("_std"))
         cells = cells.join(F.broadcast(stats)).select(cell, ((F.col("_m") - F.col("_mean")) / std).alias("_z"))
-        cells = _local(cells, cell, "_z", _mode(self.mode), "mean")
+        cells = _local_mean(cells, cell, "_z", self.mode, self.distance_threshold)
         z, lag = F.col("_z"), F.col("_local")
         label = F.when((z > 0) & (lag > 0), "HH").when((z < 0) & (lag < 0), "LL").when((z > 0) & (lag < 0), "HL").when((z < 0) & (lag > 0), "LH").otherwise("NS")
         made = {f"{v}_local_moran_i": z * lag, f"{v}_moran_cluster": label}
@@ -319,20 +358,37 @@ class LocalMoranStep(Step):
 @step("getis_ord", "spatial")
 @dataclass
 class GetisOrdStep(Step):
-    """Getis-Ord Gi* of the cells: ``{value}_gi_star`` and ``{value}_hotspot`` (hot, cold, not_significant)."""
+    """Getis-Ord Gi* of the cells' sums: ``{value}_gi_star`` and ``{value}_hotspot`` (hot, cold, not_significant).
+
+    In the order of ids it is the sum of three cells less three means, over the
+    deviation. On the grid (``queen``, ``rook``, ``distance``) it is the statistic
+    itself: with w cells around, the own one included, of n in all, the sum less w
+    means, over ``s * sqrt((n * w - w * w) / (n - 1))`` with the population's
+    deviation s; 0 where that is 0.
+    """
 
     value_col: str
     spatial_unit_col: str = "grid_id"
     distance_threshold: float | None = None
     mode: str = "sorted"
 
+    def __post_init__(self) -> None:
+        _checked_mode(self.mode, self.distance_threshold)
+
     def run(self, event_frame: EventFrame) -> EventFrame:
         cell, v = self.spatial_unit_col, self.value_col
         cells = event_frame.df.groupBy(cell).agg(F.sum(v).cast("double").alias("_m"))
-        stats = cells.agg(F.avg("_m").alias("_mean"), F.stddev_samp("_m").alias("_std"))
-        std = F.when(F.col("_std").isNull() | (F.col("_std") == 0), F.lit(1.0)).otherwise(F.col("_std"))
-        cells = _local(cells, cell, "_m", _mode(self.mode), "sum").join(F.broadcast(stats))
-        gi = (F.col("_local") - 3 * F.col("_mean")) / std
+        stats = F.broadcast(cells.agg(F.avg("_m").alias("_mean"), F.stddev_samp("_m").alias("_std"), F.stddev_pop("_m").alias("_pop"), F.count("_m").alias("_n")))  # one row
+        if self.mode == "sorted":
+            cells = cells.withColumn("_local", F.sum("_m").over(Window.orderBy(cell).rowsBetween(-1, 1))).join(stats)  # one row a cell
+            std = F.when(F.col("_std").isNull() | (F.col("_std") == 0), F.lit(1.0)).otherwise(F.col("_std"))
+            gi = (F.col("_local") - 3 * F.col("_mean")) / std
+        else:
+            near = _adjacent(cells, cell, "_m", _around(self.mode, self.distance_threshold))
+            cells = cells.where(F.col("_m").isNotNull()).join(near, cell, "left").join(stats)
+            w, n = F.coalesce(F.col("_near_n"), F.lit(0)) + 1, F.col("_n")
+            spread = F.col("_pop") * F.sqrt((n * w - w * w) / F.greatest(n - 1, F.lit(1)))
+            gi = F.when(spread > 0, (F.col("_m") + F.coalesce(F.col("_near_sum"), F.lit(0.0)) - w * F.col("_mean")) / spread).otherwise(F.lit(0.0))
         made = {f"{v}_gi_star": gi, f"{v}_hotspot": F.when(gi > 1.96, "hot").when(gi < -1.96, "cold").otherwise("not_significant")}
         found = cells.select(cell, *(c.alias(k) for k, c in made.items()))
         return event_frame.produced(event_frame.df.drop(*made).join(found, cell, "left"), self.step_name, made, [v, cell], ["spatial"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chronomesh.frame import EventFrame
 from chronomesh.functions.time import micros
 from chronomesh.operators.kernels import event_order, own_rows, sequenced
+from chronomesh.plans.stage import staged
 
 
 @dataclass
@@ -194,8 +195,11 @@ def validate_temporal_ordering(event_frame: EventFrame, timestamp_col: str | Non
 
 
 def validate_point_process_features(event_frame: EventFrame, intensity_col: str | None = None, survival_col: str | None = None, hazard_col: str | None = None, inter_event_col: str | None = None) -> ValidationReport:
-    """All checks of the given columns, in one job, or two if some need the row before."""
+    """All checks of the given columns, in one job, or two if some need the row before; their input is computed once."""
     plain, ordered, names = [], [], []
+    wanted = [c for c in (intensity_col, survival_col, hazard_col, inter_event_col) if c in event_frame.df.columns]
+    if intensity_col or survival_col:
+        event_frame = event_frame.with_df(staged(event_frame.df.select(*dict.fromkeys([*event_order(event_frame), *wanted]))))
     if intensity_col:
         plain.append(_positive("intensity_positivity", intensity_col, True))
         ordered.append(_integrable(intensity_col, 1e10))

@@ -22,7 +22,6 @@ from chronomesh.operators import features as FE
 from chronomesh.operators import point_process as P
 from chronomesh.operators import spatial as S
 from chronomesh.operators import temporal as T
-from chronomesh.operators import validation as V
 from chronomesh.pipeline import Pipeline
 from chronomesh.schema import ContextSchema, EventMetadata, EventSchema
 from chronomesh.sources.context import DynamicTemporalSource, StaticSpatialSource, StaticTemporalSource
@@ -56,7 +55,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def wrap(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"WITH {E} {sql}" if not sql.lstrip().startswith(",") else f"WITH {E}{sql}"
+            first = "WITH RECURSIVE" if "RECURSIVE_" in sql else "WITH"
+            SQL[f.__name__] = f"{first} {E} {sql}" if not sql.lstrip().startswith(",") else f"{first} {E}{sql}"
         return f
 
     return wrap
@@ -220,16 +220,17 @@ def exponential_decay(spark, sf_dir):
     return rounded(P.ExponentialDecayStep(group_cols=["user_id"]).run(events(spark, sf_dir)), "decay_weight")
 
 
-def _orders_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 7 == 0)
+def later_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of the temporal joins: all events, an hour later."""
+    o = spark.read.parquet(f"{sf_dir}/events.parquet")
     return o.select((F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("cts"), F.col("user_id").alias("cuser"), F.col("event_id").alias("cid"), F.col("value").alias("cvalue"))
 
 
-CTX = "c AS (SELECT ts + INTERVAL 1 HOUR AS cts, user_id AS cuser, event_id AS cid, value AS cvalue FROM events WHERE event_id % 7 = 0)"
+CTX = "c AS (SELECT ts + INTERVAL 1 HOUR AS cts, user_id AS cuser, event_id AS cid, value AS cvalue FROM events)"
 
 
 def _asof(spark, sf_dir, strategy: str, tolerance: str | None = None) -> DataFrame:
-    step = C.TemporalContextJoinStep(_orders_by_day(spark, sf_dir), "cts", ["cid", "cvalue"], strategy, tolerance)
+    step = C.TemporalContextJoinStep(later_events(spark, sf_dir), "cts", ["cid", "cvalue"], strategy, tolerance)
     return step.run(events(spark, sf_dir)).df.select("event_id", "cid", "cvalue")
 
 
@@ -255,41 +256,44 @@ def asof_tolerance(spark, sf_dir):
 
 @query(f", {CTX} SELECT event_id, cid, cvalue FROM e ASOF LEFT JOIN c ON e.user_id = c.cuser AND e.ts >= c.cts")
 def asof_by_key(spark, sf_dir):
-    context = _orders_by_day(spark, sf_dir).withColumnsRenamed({"cuser": "user_id", "cts": "ts"})
+    context = later_events(spark, sf_dir).withColumnsRenamed({"cuser": "user_id", "cts": "ts"})
     step = C.SpatioTemporalContextJoinStep(context, "user_id", "ts", ["cid", "cvalue"])
     return step.run(events(spark, sf_dir)).df.select("event_id", "cid", "cvalue")
 
 
-@query("SELECT a.event_id, b.event_id AS cid FROM e a LEFT JOIN (SELECT event_id, ts FROM events WHERE event_id % 5 = 0) b ON a.ts = b.ts")
+@query("SELECT a.event_id, b.event_id AS cid FROM e a LEFT JOIN (SELECT event_id, CASE WHEN event_type = 'click' THEN ts ELSE ts + INTERVAL 1 HOUR END AS ts FROM events) b ON a.ts = b.ts")
 def temporal_exact(spark, sf_dir):
-    context = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 5 == 0).select(F.col("ts").alias("cts"), F.col("event_id").alias("cid"))
+    """A side table of all events, those that are no clicks an hour later."""
+    when = F.when(F.col("event_type") == "click", F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    context = spark.read.parquet(f"{sf_dir}/events.parquet").select(when.alias("cts"), F.col("event_id").alias("cid"))
     return T.align_temporal(events(spark, sf_dir), context, "cts", "exact").df.select("event_id", "cid")
 
 
 @query(f", {CTX}, b AS (SELECT event_id, ts, cts FROM e ASOF LEFT JOIN c ON e.ts >= c.cts), f AS (SELECT event_id, cts AS fts FROM e ASOF LEFT JOIN c ON e.ts <= c.cts) SELECT event_id, date_sub('second', CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(cts) <= epoch_us(fts) - epoch_us(ts) THEN cts ELSE fts END, ts) AS time_delta FROM b JOIN f USING (event_id)")
 def time_deltas(spark, sf_dir):
-    return T.compute_time_deltas(events(spark, sf_dir), _orders_by_day(spark, sf_dir), "cts").df.select("event_id", "time_delta")
+    return T.compute_time_deltas(events(spark, sf_dir), later_events(spark, sf_dir), "cts").df.select("event_id", "time_delta")
 
 
-@query(f", x AS (SELECT user_id, avg(value) AS a, max(value) AS b, count(value) AS n FROM events GROUP BY 1) SELECT event_id, {R6('a')} AS ctx_value_mean, b + 0.0 AS ctx_value_max, n AS ctx_value_count FROM e JOIN x USING (user_id)")
+@query(f", x AS (SELECT user_id + 3 AS user_id, avg(value) AS a, max(value) AS b, count(value) AS n FROM events GROUP BY 1) SELECT event_id, {R6('a')} AS ctx_value_mean, b + 0.0 AS ctx_value_max, n AS ctx_value_count FROM e LEFT JOIN x USING (user_id)")
 def context_aggregation(spark, sf_dir):
-    side = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "value")
+    """Aggregates of another user's events; the first three users have none."""
+    side = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") + 3).alias("user_id"), "value")
     f = C.ContextAggregationStep(side, ["user_id"], {"value": ["mean", "max", "count"]}, ["user_id"]).run(events(spark, sf_dir))
     return rounded(f, "ctx_value_mean", "ctx_value_max", "ctx_value_count")
 
 
-@query(", c AS (SELECT event_id AS cid, ts AS a, ts + INTERVAL 90 MINUTE AS z FROM events WHERE event_id % 50 = 0) SELECT event_id, cid FROM e LEFT JOIN c ON e.ts >= a AND e.ts < z")
+@query(", c AS (SELECT event_id AS cid, ts AS a, ts + INTERVAL 10 MINUTE AS z FROM events) SELECT event_id, cid FROM e LEFT JOIN c ON e.ts >= a AND e.ts < z")
 def interval_join(spark, sf_dir):
-    """Events in intervals of a side table."""
-    side = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 50 == 0)
-    side = side.select(F.col("event_id").alias("cid"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 90 MINUTE")).alias("z"))
+    """Events in the ten minutes after each event."""
+    side = spark.read.parquet(f"{sf_dir}/events.parquet")
+    side = side.select(F.col("event_id").alias("cid"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 10 MINUTE")).alias("z"))
     source = StaticTemporalSource(side, ContextSchema(interval_start_col="a", interval_end_col="z", attribute_cols=["cid"]))
     return C.EnricherStep(source, C.IntervalJoin()).run(events(spark, sf_dir)).df.select("event_id", "cid")
 
 
 @query(f", {CTX} SELECT event_id, cid FROM e ASOF LEFT JOIN c ON e.ts >= c.cts")
 def enricher_temporal(spark, sf_dir):
-    source = DynamicTemporalSource(_orders_by_day(spark, sf_dir), ContextSchema(timestamp_col="cts", attribute_cols=["cid"]))
+    source = DynamicTemporalSource(later_events(spark, sf_dir), ContextSchema(timestamp_col="cts", attribute_cols=["cid"]))
     return C.EnricherStep(source, C.TemporalJoin("backward")).run(events(spark, sf_dir)).df.select("event_id", "cid")
 
 
@@ -374,9 +378,22 @@ def spatial_lag(spark, sf_dir):
     return rounded(S.SpatialLagStep(["value"]).run(_gridded(spark, sf_dir)), "value_spatial_lag")
 
 
-@query(f", {CELLS}, c AS (SELECT grid_id, avg(value) AS m FROM g GROUP BY 1), n AS (SELECT c.grid_id, avg(d.m) AS v FROM c JOIN c d ON d.grid_id <> c.grid_id AND abs(d.grid_id // 100000 - c.grid_id // 100000) <= 1 AND abs(d.grid_id % 100000 - c.grid_id % 100000) <= 1 GROUP BY 1) SELECT event_id, {R6('v')} AS value_spatial_lag FROM g LEFT JOIN n USING (grid_id)")
+#: Cells with exact means, and the mean over the cells around, added up from the least: the same in any order of the rows.
+EXACT = "c AS (SELECT grid_id, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS m FROM g GROUP BY 1)"
+NEAR = "n AS (SELECT c.grid_id, list_sum(list_sort(list(d.m))) / count(*) AS v FROM c JOIN c d ON d.grid_id <> c.grid_id AND {} GROUP BY 1)"
+QUEEN = "abs(d.grid_id // 100000 - c.grid_id // 100000) <= 1 AND abs(d.grid_id % 100000 - c.grid_id % 100000) <= 1"
+ROOK = "abs(d.grid_id // 100000 - c.grid_id // 100000) + abs(d.grid_id % 100000 - c.grid_id % 100000) <= 1"
+DISTANCE = "pow(d.grid_id // 100000 - c.grid_id // 100000, 2) + pow(d.grid_id % 100000 - c.grid_id % 100000, 2) <= 6.25"
+
+
+def exact_cells(spark: SparkSession, sf_dir: str) -> EventFrame:
+    """Events by cell with decimal values."""
+    return _gridded(spark, sf_dir).with_columns(value=F.col("value").cast("decimal(18,6)"))
+
+
+@query(f", {CELLS}, {EXACT}, {NEAR.format(QUEEN)} SELECT event_id, {R6('v')} AS value_spatial_lag FROM g LEFT JOIN n USING (grid_id)")
 def spatial_lag_queen(spark, sf_dir):
-    return rounded(S.SpatialLagStep(["value"], mode="queen").run(_gridded(spark, sf_dir)), "value_spatial_lag")
+    return rounded(S.SpatialLagStep(["value"], mode="queen").run(exact_cells(spark, sf_dir)), "value_spatial_lag")
 
 
 @query(f", {CELLS}, c AS (SELECT grid_id, avg(value) AS m FROM g GROUP BY 1), z AS (SELECT grid_id, (m - (SELECT avg(m) FROM c)) / (SELECT stddev_samp(m) FROM c) AS z FROM c), l AS (SELECT *, avg(z) OVER (ORDER BY grid_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM z) SELECT event_id, {R6('z * l')} AS value_local_moran_i, CASE WHEN z > 0 AND l > 0 THEN 'HH' WHEN z < 0 AND l < 0 THEN 'LL' WHEN z > 0 AND l < 0 THEN 'HL' WHEN z < 0 AND l > 0 THEN 'LH' ELSE 'NS' END AS value_moran_cluster FROM g JOIN l USING (grid_id)")
@@ -437,9 +454,9 @@ def table_features(spark, sf_dir):
     return TableAdapter(index_cols=["event_id"], feature_cols=["value", "user_id"], target_col="event_type", include_intercept=True).frame(events(spark, sf_dir))
 
 
-@query(f", {CELLS}, r AS (SELECT grid_id AS unit, row_number() OVER (PARTITION BY grid_id ORDER BY ts, event_id) - 1 AS position, count(*) OVER (PARTITION BY grid_id) AS length, value FROM g) SELECT * FROM r WHERE position < 16")
+@query(f", {CELLS}, r AS (SELECT grid_id AS unit, row_number() OVER (PARTITION BY grid_id ORDER BY ts, event_id) - 1 AS position, count(*) OVER (PARTITION BY grid_id) AS length, value FROM g) SELECT * FROM r")
 def sequence_long(spark, sf_dir):
-    long = SequenceAdapter(feature_cols=["value"], sequence_length=16).frame(_gridded(spark, sf_dir))
+    long = SequenceAdapter(feature_cols=["value"]).frame(_gridded(spark, sf_dir))
     return rounded(long, "unit", "position", "length", "value", keep=())
 
 
@@ -460,7 +477,7 @@ def graph_edges(spark, sf_dir):
     return rounded(GraphAdapter(spatial_threshold=0.025).edges(_gridded(spark, sf_dir)), "src", "dst", "weight", "norm", keep=())
 
 
-@query(f", {BY_CELL}, s AS (SELECT day, node FROM (SELECT DISTINCT day FROM g) AS a CROSS JOIN (SELECT DISTINCT grid_id AS node FROM g) AS b), m AS (SELECT day, grid_id AS node, avg(value) AS v FROM g GROUP BY 1, 2) SELECT s.day AS snapshot, s.node, {R6('coalesce(v, 0)')} AS value FROM s LEFT JOIN m ON m.day = s.day AND m.node = s.node")
+@query(f", {BY_CELL}, m AS (SELECT day, grid_id AS node, avg(value) AS v FROM g GROUP BY 1, 2) SELECT day AS snapshot, node, {R6('coalesce(v, 0)')} AS value FROM m")
 def graph_snapshots(spark, sf_dir):
     return rounded(GraphAdapter(feature_cols=["value"], snapshot_interval="1d").snapshots(_gridded(spark, sf_dir)), "snapshot", "node", "value", keep=())
 
@@ -471,15 +488,6 @@ def stream_long(spark, sf_dir):
     return rounded(long, "time", "event_type", "inter_time", "value")
 
 
-@query("SELECT * FROM (VALUES ('intensity_positivity', true, 'error', CAST(0 AS BIGINT)), ('probability_bounds', true, 'error', 0), ('hazard_positivity', true, 'error', 0), ('intensity_integrability', true, 'error', 0), ('survival_monotonicity', true, 'error', 0), ('temporal_ordering', true, 'error', 0)) AS t(check_name, is_valid, severity, n_violations)")
-def validation_report(spark, sf_dir):
-    """Checks of the survival features of all events."""
-    f = Pipeline([P.SurvivalTableStep(), P.HazardRateStep()]).run(events(spark, sf_dir))
-    report = V.validate_point_process_features(f, "value", "survival_probability", "hazard_rate")
-    report.add(V.validate_temporal_ordering(f))
-    return V.report_frame(f, report)
-
-
 @query(", x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM x) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, k")
 def sessions(spark, sf_dir):
     out = sessionize(events(spark, sf_dir).df, "ts", "30 minutes", ["user_id"])
@@ -507,9 +515,15 @@ def enricher_spatial(spark, sf_dir):
     return C.EnricherStep(source, C.SpatialJoin("grid", "grid_id")).run(f).df.select("event_id", "xvalue")
 
 
+def _all() -> None:
+    from chronomesh.plans import queries_more  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

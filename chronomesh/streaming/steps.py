@@ -23,6 +23,7 @@ from chronomesh.frame import EventFrame
 from chronomesh.functions.time import micros, seconds
 from chronomesh.operators.kernels import BLOCK, decayed_sum, event_order, own_rows, running, sequenced
 from chronomesh.operators.point_process import positive
+from chronomesh.operators.spatial import unused
 from chronomesh.pipeline import Step
 from chronomesh.registry import step
 from chronomesh.streaming.state import StreamEvent, StreamWindow
@@ -124,6 +125,7 @@ class StreamingWindowStep(StreamingStep):
 
     def __post_init__(self) -> None:
         positive(window_size=self.window_size)
+        unused(self, emit_on_expire=False)
 
     def outputs(self) -> dict[str, str]:
         return {"stream_window_size": "long", "stream_window_duration": "double", "stream_events_expired": "long"}
@@ -238,6 +240,7 @@ class StreamingHawkesStep(StreamingStep):
 
     def __post_init__(self) -> None:
         positive(alpha=self.alpha, beta=self.beta, mu=self.mu)
+        unused(self, update_threshold=0.001)
 
     def outputs(self) -> dict[str, str]:
         return {"streaming_hawkes_intensity": "double", "streaming_hawkes_trigger": "double"}
