@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from chronomesh.plans.stage import shared_dir, staged
+
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -24,29 +24,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's checkpoint folder (``spark.checkpoint.dir``); a
-    temporary one is set only where the session has none.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return sc.getCheckpointDir()
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as Parquet and read it back.
 
-    Unlike ``checkpoint()`` the plan is computed once, and the files survive
-    the loss of any executor.
+    The files survive the loss of any executor, and nothing but the wanted columns
+    is read again.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return staged(df, name)
 
 
 def discard(df: DataFrame) -> None:
