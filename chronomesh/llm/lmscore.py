@@ -1,16 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter (operator 4).
 
-Words and pairs of words of the training documents are counted exactly; an
-n-gram with count c is put into a Bloom filter once for each level up to its
-quantised count ``1 + floor(log_BASE(c))``. A lookup probes level after level until
-one is missing, which gives the count's magnitude. The probability of a word
-interpolates the pair's relative frequency with the word's own.
+Words and pairs of words of the training documents are counted exactly. A pair
+with count c is put into a Bloom filter once for each level up to its quantised
+count ``1 + floor(log_BASE(c))``. A lookup probes level after level until one is
+missing, which gives the count's magnitude. The probability of a word
+interpolates the pair's relative frequency with the word's own, which comes from
+the exact counts; over all words of a history these sum to 1, but for the
+quantisation of the pairs.
 
 Counting is distributed: tasks count what they read, send sorted runs to shards
 by ranges of hashes, and each shard merges its runs and fills its own segment of
-the filter. Filter and word counts grow with the corpus. Up to
-``max_broadcast`` bytes they are broadcast; beyond, lookups travel to the shards
-instead and give the same scores.
+the filter. Filter and word counts grow with the corpus. Up to ``max_broadcast``
+bytes they are broadcast. Beyond, only the HOT most frequent words and pairs are,
+lookups of all others travel to the shards, and the scores are the same.
 """
 
 from __future__ import annotations
@@ -23,19 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import LOWER, arrow_map, frugal, materialize, partitions_for, texts
+from chronomesh.llm.common import LOWER, arrow_map, fresh, frugal, materialize, partitions_for, texts
 
 #: Base of the quantised counts.
 BASE = 1.5
 #: Weight of the pair's relative frequency.
-PAIR_WEIGHT = 0.25
+PAIR_WEIGHT = 0.5
 #: Bits and probes of the filter for each entry.
 ENTRY_BITS, PROBES = 12, 7
 #: Largest filter and table together that go to every worker.
 MAX_BROADCAST = 256 << 20
+#: Frequent words, and pairs, that every worker holds where the filter itself is too large.
+HOT = 1 << 20
 END, BEGIN = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
 CACHE_WORDS = 500_000
-_COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
+#: Counts of one task, which are below its FLUSH_TOKENS, and of the corpus.
+_COUNT, _TOTAL = np.dtype([("h", "<u8"), ("c", "<u4")]), np.dtype([("h", "<u8"), ("c", "<u8")])
+FLUSH_TOKENS = 8_000_000
 
 
 def quantise(c: np.ndarray) -> np.ndarray:
@@ -62,19 +68,17 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Words:
-    """Numbers of words in the order in which this process met them, and their hashes."""
+    """Numbers of words in the order in which this process met them, and their hashes; 0 is the end, 1 the begin."""
 
     def __init__(self):
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {b"": 0, b" ": 1}
         self.hashes = np.zeros(1 << 16, np.uint64)
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of the words of a text."""
-        codes = self.codes(text)
-        return self.hashes[codes]
+        self.hashes[:2] = END, BEGIN
 
     def codes(self, text: bytes | None) -> np.ndarray:
+        """Numbers of the words of a text, and of its end."""
         words = (text or b"").translate(LOWER).split()
+        words.append(b"")
         try:
             return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         except KeyError:
@@ -88,50 +92,61 @@ class Words:
 
 
 def _tokens(words: Words, batch: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes of tokens with each text's end, token counts of the texts) of up to about half a million tokens."""
-    held, sizes = [], []
+    """(numbers of tokens with each text's end, token counts of the texts) of up to about half a million tokens."""
+    held, sizes, n = [], [], 0
     for text in batch:
-        if len(words.index) > CACHE_WORDS:
+        if len(words.index) > CACHE_WORDS and not held:
             words.__init__()
-        held.append(np.append(words.of(text), np.uint64(END)))
+        held.append(words.codes(text))
         sizes.append(len(held[-1]))
-        if sum(sizes) > 500_000:
+        n += sizes[-1]
+        if n > 500_000:
             yield np.concatenate(held), np.array(sizes)
-            held, sizes = [], []
+            held, sizes, n = [], [], 0
     if held:
         yield np.concatenate(held), np.array(sizes)
 
 
-def _histories(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.roll(h, 1)
-    before[np.cumsum(sizes) - sizes] = np.uint64(BEGIN)
-    return before
+def _pairs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number for the word before and the word at each token."""
+    before = np.roll(codes, 1)
+    before[np.cumsum(sizes) - sizes] = 1
+    return before << 32 | codes
+
+
+def _pair_hashes(words: Words, pairs: np.ndarray) -> np.ndarray:
+    return pair_hash(words.hashes[pairs >> 32], words.hashes[pairs & 0xFFFFFFFF])
 
 
-def _counted(parts: list[np.ndarray]) -> np.ndarray:
+def _sums(parts: list[np.ndarray], kind: np.dtype) -> np.ndarray:
     """Sum of counts by hash, sorted."""
-    rows = np.concatenate(parts) if parts else np.zeros(0, _COUNT)
+    rows = np.concatenate([p.astype(kind) for p in parts]) if parts else np.zeros(0, kind)
     rows = rows[np.argsort(rows["h"], kind="stable")]
     if not len(rows):
         return rows
     first = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]))
     out = rows[first].copy()
-    out["c"] = np.minimum(np.add.reduceat(rows["c"].astype(np.int64), first), (1 << 32) - 1)
+    out["c"] = np.add.reduceat(rows["c"], first)
     return out
 
 
-def _counts_of(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(0, _COUNT)
-    if len(h):
-        values, n = np.unique(h, return_counts=True)
-        out = np.zeros(len(values), _COUNT)
-        out["h"], out["c"] = values, n
+def _counts_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), _COUNT)
+    out["h"], out["c"] = h, n
     return out
 
 
+def _find(known: np.ndarray, values: np.ndarray, h: np.ndarray, missing: int = 0) -> np.ndarray:
+    """Values of hashes by a sorted table."""
+    if not len(known):
+        return np.full(len(h), missing, np.int64)
+    slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[slot] == h, values[slot].astype(np.int64), missing)
+
+
 def _count_blobs(docs: DataFrame, text: str, shards: int) -> DataFrame:
     def send(words: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        w, p = _counted(words), _counted(pairs)
+        w, p = _sums(words, _COUNT), _sums(pairs, _COUNT)
         wc, pc = (np.searchsorted(shard_of(x["h"], shards), np.arange(shards + 1)) for x in (w, p))
         rows = []
         for k in range(shards):
@@ -143,11 +158,14 @@ def _count_blobs(docs: DataFrame, text: str, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, words, pairs, n = Words(), [], [], 0
         for batch in batches:
-            for h, sizes in _tokens(cache, texts(batch, text)):
-                words.append(_counts_of(h))
-                pairs.append(_counts_of(pair_hash(_histories(h, sizes), h)))
-                n += len(h)
-                if n > 8_000_000:
+            for codes, sizes in _tokens(cache, texts(batch, text)):
+                met = np.bincount(codes)
+                own = np.flatnonzero(met)
+                words.append(_counts_of(cache.hashes[own], met[own]))
+                both, m = np.unique(_pairs(codes, sizes), return_counts=True)
+                pairs.append(_counts_of(_pair_hashes(cache, both), m))
+                n += len(codes)
+                if n > FLUSH_TOKENS:
                     yield send(words, pairs)
                     words, pairs, n = [], [], 0
         if n:
@@ -160,10 +178,9 @@ def _merged(blobs: DataFrame, shards: int) -> DataFrame:
     """Per shard: exact word counts, levels of the pairs, and how much the filter must hold."""
 
     def close(shard: int, words: list, pairs: list) -> tuple:
-        w, p = _counted(words), _counted(pairs)
+        w, p = _sums(words, _TOTAL), _sums(pairs, _TOTAL)
         levels = quantise(p["c"])
-        entries = int(quantise(w["c"]).sum() + levels.sum()) if len(w) + len(p) else 0
-        return shard, w.tobytes(), p["h"].tobytes(), levels.astype(np.uint8).tobytes(), int(w["c"].sum(dtype=np.int64)), len(w), entries
+        return shard, w.tobytes(), p["h"].tobytes(), levels.astype(np.uint8).tobytes(), int(w["c"].sum(dtype=np.int64)), len(w), int(levels.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(row: tuple) -> pa.RecordBatch:
@@ -179,11 +196,9 @@ def _merged(blobs: DataFrame, shards: int) -> DataFrame:
                 now = shard
                 words.append(np.frombuffer(a, _COUNT))
                 once = np.frombuffer(b, "<u8")
-                row = np.zeros(len(once), _COUNT)
-                row["h"], row["c"] = once, 1
-                pairs += [row, np.frombuffer(c, _COUNT)]
+                pairs += [_counts_of(once, np.ones(len(once), np.uint32)), np.frombuffer(c, _COUNT)]
                 if len(pairs) >= 64:  # keeps the shard's memory near that of its distinct n-grams
-                    words, pairs = [_counted(words)], [_counted(pairs)]
+                    words, pairs = [_sums(words, _TOTAL)], [_sums(pairs, _TOTAL)]
         if now is not None:
             yield emit(close(now, words, pairs))
 
@@ -200,23 +215,18 @@ def _bit(one: np.ndarray, two: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (((one + np.uint64(k) * two) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
 
 
-def fill_segment(words: np.ndarray, pairs: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+def fill_segment(pairs: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     """A shard's segment of the filter, ``bits`` long (a multiple of 8)."""
     out = np.zeros(bits // 8, np.uint8)
-
-    def put(h: np.ndarray, last: np.ndarray) -> None:
-        level = 1
-        while len(h):
-            one, two = _slots(h, level, bits)
-            for k in range(PROBES):
-                at = _bit(one, two, k, bits)
-                np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-            level += 1
-            more = last >= level
-            h, last = h[more], last[more]
-
-    put(words["h"], quantise(words["c"]))
-    put(pairs, levels.astype(np.int64))
+    h, last, level = pairs, levels.astype(np.int64), 1
+    while len(h):
+        one, two = _slots(h, level, bits)
+        for k in range(PROBES):
+            at = _bit(one, two, k, bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+        level += 1
+        more = last >= level
+        h, last = h[more], last[more]
     return out
 
 
@@ -255,7 +265,7 @@ class Model:
 
     @property
     def n_bytes(self) -> int:
-        return self.n_shards * self.bits // 8 + self.types * _COUNT.itemsize
+        return self.n_shards * self.bits // 8 + self.types * _TOTAL.itemsize
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
@@ -267,13 +277,13 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     # every document has one end, so the count of ends is the number of documents
     end_shard = int(shard_of(np.array([END], np.uint64), n_shards)[0])
     found = rows.where(F.col("shard") == end_shard).select("words").collect()
-    table = np.frombuffer(found[0][0], _COUNT) if found else np.zeros(0, _COUNT)
+    table = np.frombuffer(found[0][0], _TOTAL) if found else np.zeros(0, _TOTAL)
     n_docs = int(table["c"][table["h"] == np.uint64(END)].sum())
     return Model(rows, n_shards, bits, int(tokens), int(types), n_docs)
 
 
 def _log10_probability(pair: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: int, types: int) -> np.ndarray:
-    """From estimated counts; the share of words that were never seen is that of one more."""
+    """From the pair's estimated and the words' exact counts; words that were never seen share the probability of one more."""
     own = (word + 1) / (tokens + types + 1)
     weight = np.where(history > 0, PAIR_WEIGHT, 0.0)
     return np.log10((1 - weight) * own + weight * np.minimum(1.0, pair / np.maximum(history, 1.0)))
@@ -286,28 +296,33 @@ def _base(c: np.ndarray, tokens: int, types: int) -> np.ndarray:
 _OUT = "n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def score(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), text: str = "text", max_broadcast: int | None = None) -> DataFrame:
     """Per row: keys, n_tokens, n_known, base_score, score (log10 probability of the text).
 
     A null text is empty: its end alone is scored. Every row of ``docs`` gives one.
     """
-    return (_score_here if model.n_bytes <= max_broadcast else _score_there)(docs, model, keys, text)
+    return (_score_here if model.n_bytes <= (MAX_BROADCAST if max_broadcast is None else max_broadcast) else _score_there)(docs, model, keys, text)
 
 
 def _score_here(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str) -> DataFrame:
     bits, n_shards, tokens, types, n_docs = model.bits, model.n_shards, model.tokens, model.types, model.n_docs
 
     def fill(batch: pa.RecordBatch) -> dict:
-        cols = [batch.column(c).to_pylist() for c in ("words", "pairs", "levels")]
-        return {"shard": batch.column("shard"), "words": batch.column("words"), "segment": [fill_segment(np.frombuffer(w, _COUNT), np.frombuffer(p, "<u8"), np.frombuffer(q, np.uint8), bits).tobytes() for w, p, q in zip(*cols)]}
-
-    parts = sorted(zip(*arrow_map(model.rows, fill, "shard int, words binary, segment binary").toArrow().to_pydict().values()))
-    data = np.zeros(n_shards * bits // 8, np.uint8)
-    for k, _, segment in parts:
-        data[k * bits // 8 : (k + 1) * bits // 8] = np.frombuffer(segment, np.uint8)
-    table = np.concatenate([np.frombuffer(w, _COUNT) for _, w, _ in parts]) if parts else np.zeros(0, _COUNT)
-    shared = docs.sparkSession.sparkContext.broadcast((data, np.ascontiguousarray(table["h"]), np.ascontiguousarray(table["c"])))
-    del parts, data, table
+        cols = [batch.column(c).to_pylist() for c in ("pairs", "levels")]
+        return {"shard": batch.column("shard"), "words": batch.column("words"), "segment": [fill_segment(np.frombuffer(p, "<u8"), np.frombuffer(q, np.uint8), bits).tobytes() for p, q in zip(*cols)]}
+
+    found = arrow_map(model.rows, fill, "shard int, words binary, segment binary").toArrow()
+    data, tables = np.zeros(n_shards * bits // 8, np.uint8), {}
+    for batch in found.to_batches():
+        for k, words, segment in zip(*(batch.column(c) for c in ("shard", "words", "segment"))):
+            k = k.as_py()
+            data[k * bits // 8 : (k + 1) * bits // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
+            tables[k] = np.frombuffer(words.as_buffer(), _TOTAL)
+    table = np.concatenate([tables[k] for k in sorted(tables)]) if tables else np.zeros(0, _TOTAL)
+    known, counts = np.ascontiguousarray(table["h"]), np.ascontiguousarray(table["c"])
+    del found, tables, table
+    shared = docs.sparkSession.sparkContext.broadcast((data, known, counts))
+    del data, known, counts
     types_of = dict(docs.dtypes)
 
     class Scorer:
@@ -319,41 +334,82 @@ def _score_here(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str)
             grid = Filter(data, n_shards, bits)
             words = self.words = self.words or Words()
             out: list[np.ndarray] = []
-            for h, sizes in _tokens(words, texts(batch, text)):
-                values, code = np.unique(h, return_inverse=True)
-                slot = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-                c = np.where(known[slot] == values, counts[slot], 0).astype(np.float64) if len(known) else np.zeros(len(values))
-                word = MIDDLE[grid.levels(values)][code]
-                history = np.roll(word, 1)
+            for codes, sizes in _tokens(words, texts(batch, text)):
+                met = np.flatnonzero(np.bincount(codes))
+                c = np.zeros(len(words.index), np.float64)
+                c[met] = _find(known, counts, words.hashes[met])
+                base = np.zeros(len(c))
+                base[met] = _base(c[met], tokens, types)
                 starts = np.cumsum(sizes) - sizes
-                history[starts] = n_docs
-                pair = MIDDLE[grid.levels(pair_hash(_histories(h, sizes), h))]
-                p = _log10_probability(pair, history, word, tokens, types)
-                out.append(np.array([sizes, np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.add.reduceat(_base(c, tokens, types)[code], starts), np.add.reduceat(p, starts)]))
+                both, slot = np.unique(_pairs(codes, sizes), return_inverse=True)
+                history = c[both >> 32]
+                history[both >> 32 == 1] = n_docs
+                pair = MIDDLE[grid.levels(_pair_hashes(words, both))]
+                p = _log10_probability(pair, history, c[both & 0xFFFFFFFF], tokens, types)[slot]
+                out.append(np.array([sizes, np.add.reduceat((c > 0)[codes].astype(np.int64), starts), np.add.reduceat(base[codes], starts), np.add.reduceat(p, starts)]))
             n, n_known, base, p = np.concatenate(out, axis=1)
             return {k: batch.column(k) for k in keys} | {"n_tokens": n.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": p}
 
     return arrow_map(docs.select(*keys, text), Scorer(), ", ".join([*(f"`{k}` {types_of[k]}" for k in keys), _OUT]))
 
 
+def _hot(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and values of the most frequent words (counts) and pairs (levels by the filter), at most HOT of each, evenly by shards."""
+    each, bits, n_shards = -(-HOT // model.n_shards), model.bits, model.n_shards
+
+    def top(batch: pa.RecordBatch) -> dict:
+        out = {"pair": [], "h": [], "v": []}
+        for shard, w, p, q in zip(*(batch.column(c).to_pylist() for c in ("shard", "words", "pairs", "levels"))):
+            w, p, q = np.frombuffer(w, _TOTAL), np.frombuffer(p, "<u8"), np.frombuffer(q, np.uint8)
+            grid = Filter(fill_segment(p, q, bits), n_shards, bits, shard)
+            w, p = w[np.argsort(w["c"], kind="stable")[::-1][:each]], p[np.argsort(q, kind="stable")[::-1][:each]]
+            levels = grid.levels(p)
+            for pair, h, v in ((False, w["h"], w["c"]), (True, p, levels)):
+                out["pair"] += [pair] * len(h)
+                out["h"] += h.view(np.int64).tolist()
+                out["v"] += v.tolist()
+        return out
+
+    found = arrow_map(model.rows.select("shard", "words", "pairs", "levels"), top, "pair boolean, h long, v long").toArrow()
+    pair, h, v = found["pair"].to_numpy(), found["h"].to_numpy().view(np.uint64), found["v"].to_numpy()
+    out = []
+    for kind in (False, True):
+        own = np.flatnonzero(pair == kind)
+        own = own[np.argsort(h[own])]
+        out.append((h[own], v[own]))
+    return out
+
+
 def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str) -> DataFrame:
-    """The same scores where the filter is too large for a worker: lookups go to the shards."""
+    """The same scores where the filter is too large for a worker: lookups of all but the hot go to the shards.
+
+    A document sends a row for each of its distinct pairs. What is hot is known
+    at once, and its rows are dealt out evenly by the joins that look up the rest.
+    """
     bits, n_shards, tokens, types, n_docs = model.bits, model.n_shards, model.tokens, model.types, model.n_docs
-    row = "row_of_score"
-    numbered = materialize(docs.select(*keys, text).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    shared = docs.sparkSession.sparkContext.broadcast(_hot(model))
+    row, named = fresh(docs, "row_of_score"), [f"key_{k}" for k in range(len(keys))]
+    kinds = dict(docs.dtypes)
+    fields = ["row", "v", "w", "p", "history", "word", "level", "n"]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for k, t in zip(batch.column(row).to_pylist(), texts(batch, text)):
-                for h, sizes in _tokens(words, [t]):
-                    both, n = np.unique(np.array([_histories(h, sizes), h]), axis=1, return_counts=True)
-                    p = pair_hash(both[0], both[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (both[0], both[1], p)), pa.array(n)], [row, "v", "w", "p", "n"])
-
-    asked = numbered.mapInArrow(frugal(pairs), f"{row} long, v long, w long, p long, n long")
-    asked = materialize(asked, "asked")
-    wanted = asked.select(F.col("w").alias("h"), F.lit(False).alias("pair")).union(asked.select("v", F.lit(False))).union(asked.select("p", F.lit(True))).distinct()
+            (known, counts), (pairs, levels) = shared.value
+            found = zip(batch.column(row).to_pylist(), texts(batch, text))
+            for at, (k, t) in enumerate(found):
+                for codes, sizes in _tokens(words, [t]):
+                    both, n = np.unique(_pairs(codes, sizes), return_counts=True)
+                    v, w, p = words.hashes[both >> 32], words.hashes[both & 0xFFFFFFFF], _pair_hashes(words, both)
+                    history, word, level = _find(known, counts, v, -1), _find(known, counts, w, -1), _find(pairs, levels, p, -1)
+                    history[both >> 32 == 1] = n_docs
+                    out = [pa.array(np.full(len(n), k)), *(pa.array(x.view(np.int64)) for x in (v, w, p)), *map(pa.array, (history, word, level, n))]
+                    own = [pa.concat_arrays([batch.column(c).slice(at, 1), pa.nulls(len(n) - 1, batch.column(c).type)]) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*out, *own], [*fields, *named])
+
+    schema = ", ".join([*(f"{c} long" for c in fields), *(f"{c} {kinds[k]}" for c, k in zip(named, keys))])
+    asked = materialize(docs.select(*keys, text).withColumn(row, F.monotonically_increasing_id()).mapInArrow(frugal(ask), schema), "asked")
+    wanted = asked.where("word < 0").select(F.col("w").alias("h"), F.lit(False).alias("pair")).union(asked.where("history < 0").select("v", F.lit(False))).union(asked.where("level < 0").select("p", F.lit(True))).distinct()
 
     def route(batch: pa.RecordBatch) -> dict:
         return {"h": batch.column("h"), "pair": batch.column("pair"), "shard": shard_of(batch.column("h").to_numpy().view(np.uint64), n_shards).astype(np.int32)}
@@ -365,48 +421,44 @@ def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str
     )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, grid, table = None, None, np.zeros(0, _COUNT)
+        now, grid, table = None, None, np.zeros(0, _TOTAL)
         for batch in batches:
             shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             h, pair = batch.column("h").fill_null(0).to_numpy().view(np.uint64), batch.column("pair").fill_null(False).to_numpy(zero_copy_only=False)
             for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(shard)]]))):
                 if kind[a] == 0:
                     now = shard[a]
-                    table = np.frombuffer(batch.column("words")[a].as_py(), _COUNT)
-                    grid = Filter(fill_segment(table, np.frombuffer(batch.column("pairs")[a].as_py(), "<u8"), np.frombuffer(batch.column("levels")[a].as_py(), np.uint8), bits), n_shards, bits, int(now))
+                    table = np.frombuffer(batch.column("words")[a].as_py(), _TOTAL)
+                    grid = Filter(fill_segment(np.frombuffer(batch.column("pairs")[a].as_py(), "<u8"), np.frombuffer(batch.column("levels")[a].as_py(), np.uint8), bits), n_shards, bits, int(now))
                     continue
                 own, is_pair = h[a:b], pair[a:b]
-                level, c = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                value = np.zeros(len(own), np.int64)
                 if shard[a] == now:
-                    level[is_pair] = grid.levels(own[is_pair])
-                    level[~is_pair] = grid.levels(own[~is_pair])
-                    slot = np.minimum(np.searchsorted(table["h"], own), max(0, len(table) - 1))
-                    c = np.where(table["h"][slot] == own, table["c"][slot], 0).astype(np.int64) if len(table) else c
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(is_pair), pa.array(MIDDLE[level]), pa.array(c)], ["h", "pair", "about", "c"])
+                    value[is_pair] = grid.levels(own[is_pair])
+                    value[~is_pair] = _find(table["h"], table["c"], own[~is_pair])
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(is_pair), pa.array(value)], ["h", "pair", "value"])
 
-    known = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(frugal(look), "h long, pair boolean, about double, c long")
+    known = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(frugal(look), "h long, pair boolean, value long")
     known = materialize(known, "known")
-    words_of = known.where("not pair").select("h", "about", "c")
-    begin = F.lit(int(np.array([BEGIN], np.uint64).view(np.int64)[0]))
-    joined = (
-        asked.join(words_of.select(F.col("h").alias("w"), F.col("about").alias("word"), "c"), "w")
-        .join(words_of.select(F.col("h").alias("v"), F.col("about").alias("history")), "v")
-        .join(known.where("pair").select(F.col("h").alias("p"), F.col("about").alias("pair_count")), "p")
-    )
-    history = F.when(F.col("v") == begin, F.lit(float(n_docs))).otherwise(F.col("history"))
+    joined = asked
+    for c, h, pair in (("word", "w", False), ("history", "v", False), ("level", "p", True)):
+        answers = known.where(F.col("pair") == pair).select(F.col("h").alias("key"), F.col("value").alias(f"{c}_there"))
+        joined = joined.withColumn("key", F.when(F.col(c) < 0, F.col(h)).otherwise(F.xxhash64("row", "p"))).join(answers, "key", "left").withColumn(c, F.when(F.col(c) < 0, F.coalesce(f"{c}_there", F.lit(0))).otherwise(F.col(c))).drop("key", f"{c}_there")
     total = float(tokens + types + 1)
-    weight = F.when(history > 0, F.lit(PAIR_WEIGHT)).otherwise(F.lit(0.0))
-    p = F.log10((1 - weight) * (F.col("word") + 1) / total + weight * F.least(F.lit(1.0), F.col("pair_count") / F.greatest(history, F.lit(1.0))))
-    sums = joined.groupBy(row).agg(
+    weight = F.when(F.col("history") > 0, F.lit(PAIR_WEIGHT)).otherwise(F.lit(0.0))
+    pair = F.element_at(F.array(*map(F.lit, MIDDLE.tolist())), F.col("level").cast("int") + 1)
+    p = F.log10((1 - weight) * (F.col("word") + 1) / total + weight * F.least(F.lit(1.0), pair / F.greatest(F.col("history"), F.lit(1))))
+    sums = joined.groupBy("row").agg(
+        *(F.max(c).alias(c) for c in named),
         F.sum("n").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / total)).alias("base_score"),
+        F.coalesce(F.sum(F.when(F.col("word") > 0, F.col("n"))), F.lit(0)).alias("n_known"),
+        F.sum(F.col("n") * F.log10((F.col("word") + 1) / total)).alias("base_score"),
         F.sum(F.col("n") * p).alias("score"),
     )
-    return numbered.select(*keys, row).join(sums, row).drop(row)
+    return sums.select(*(F.col(c).alias(k) for c, k in zip(named, keys)), "n_tokens", "n_known", "base_score", "score")
 
 
-def digest(docs: DataFrame, key: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def digest(docs: DataFrame, key: str = "doc_id", max_broadcast: int | None = None) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id, as text, leaves a rest other than
