@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.schema import ContextRequirementState, EventMetadata, EventSchema, FeatureProvenance, OutputModality
+from chronomesh.schema import EventMetadata, EventSchema, Lineage, Needs, OutputModality
 
 
 class EventFrame:
@@ -51,7 +51,7 @@ class EventFrame:
         return EventFrame(self.df, self.schema.model_copy(update={"output_modalities": more}), self.metadata)
 
     def register_feature(
-        self, name: str, info: dict[str, Any] | None = None, modality: str | OutputModality | None = None, provenance: FeatureProvenance | None = None
+        self, name: str, info: dict[str, Any] | None = None, modality: str | OutputModality | None = None, provenance: Lineage | None = None
     ) -> EventFrame:
         catalog = {**self.metadata.feature_catalog, name: dict(info or {})}
         made = {**self.schema.feature_provenance, **({name: provenance} if provenance else {})}
@@ -59,15 +59,15 @@ class EventFrame:
         return out.add_output_modality(modality) if modality else out
 
     def require_context(
-        self, *, spatial_crs: str | None = None, temporal_resolution: str | None = None, context_tags: Iterable[str] = (), notes: dict[str, Any] | None = None
+        self, *, spatial_crs: str | None = None, temporal_resolution: str | None = None, context_tags: Iterable[str] = ()
     ) -> EventFrame:
-        more = ContextRequirementState(spatial_crs=spatial_crs, temporal_resolution=temporal_resolution, required_context=set(context_tags), notes=notes or {})
+        more = Needs(spatial_crs=spatial_crs, temporal_resolution=temporal_resolution, required_context=set(context_tags))
         merged = self.schema.context_requirements.merged(more)
         return EventFrame(self.df, self.schema.model_copy(update={"context_requirements": merged}), self.metadata)
 
     def produced(self, df: DataFrame, step: str, columns: Iterable[str], inputs: Iterable[str] = (), tags: Iterable[str] = (), **details: Any) -> EventFrame:
         """The frame with new data and the lineage of the columns that a step made."""
-        made = {c: FeatureProvenance(produced_by=step, inputs=list(inputs), tags=set(tags), metadata=details) for c in columns}
+        made = {c: Lineage(produced_by=step, inputs=list(inputs), tags=set(tags), details=details) for c in columns}
         catalog = {**self.metadata.feature_catalog, **{c: {"step": step, **details} for c in made}}
         schema = self.schema.model_copy(update={"feature_provenance": {**self.schema.feature_provenance, **made}})
         return EventFrame(df, schema, self.metadata.model_copy(update={"feature_catalog": catalog}))

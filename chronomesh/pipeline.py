@@ -35,7 +35,7 @@ class Pipeline(Step):
             name = type(step).__name__
             if not isinstance(out, EventFrame):
                 raise TypeError(f"{name} returned {type(out).__name__}, not an EventFrame")
-            if issues := event_frame.schema.compatibility_issues(out.schema):
+            if issues := event_frame.schema.broken_by(out.schema):
                 raise ValueError(f"{name} broke the schema: {'; '.join(issues)}")
             event_frame = out
         self.last_schema, self.last_metadata = event_frame.schema, event_frame.metadata

@@ -244,13 +244,13 @@ def distances_function(spark, sf_dir):
     return rounded(S.compute_distances(events(spark, sf_dir), pois), "dist_to_loop")
 
 
-@query(f", u AS (SELECT *, epoch_us(ts) AS us FROM e), w AS (SELECT event_id, avg(value) OVER v AS a, max(value) OVER v AS b, count(value) OVER v AS n FROM u WINDOW v AS (ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)) SELECT event_id, {R6('a')} AS value_mean_6h, b + 0.0 AS value_max_6h, n AS value_count_6h FROM w")
+@query(f", u AS (SELECT *, epoch_us(ts) AS us FROM e), w AS (SELECT event_id, sum(value) OVER v AS a, max(value) OVER v AS b, count(value) OVER v AS n FROM u WINDOW v AS (ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)) SELECT event_id, {R6('a')} AS value_sum_6h, b + 0.0 AS value_max_6h, n AS value_count_6h FROM w")
 def moving_window_all(spark, sf_dir):
     """The last six hours of all events, without groups."""
     f = events(spark, sf_dir)
-    for how in ("mean", "max", "count"):
+    for how in ("sum", "max", "count"):
         f = FE.moving_window_aggregation(f, "6h", [], "value", how)
-    return rounded(f, "value_mean_6h", "value_max_6h", "value_count_6h")
+    return rounded(f, "value_sum_6h", "value_max_6h", "value_count_6h")
 
 
 @query(f"SELECT event_id, {R6('exp(-(CAST(0.1 AS DOUBLE) / 3600) * date_sub(chr(0), ts, (SELECT max(ts) FROM e)))')} AS decay_weight FROM e".replace("chr(0)", "'second'"))

@@ -9,7 +9,7 @@ from chronomesh.functions.time import parse_duration, parse_time_window
 from chronomesh.pipeline import ConditionalStep, LambdaStep, ParallelSteps, Pipeline
 from chronomesh.plans.recipes import BaseRecipe, get_recipe, list_datasets, list_recipes, register_recipe
 from chronomesh.registry import FeatureStepRegistry, get_default_adapter_registry, get_default_registry
-from chronomesh.schema import ContextSchema, EventSchema, FeatureProvenance, OutputModality
+from chronomesh.schema import ContextSchema, EventSchema, Lineage, OutputModality
 
 
 def test_schema_needs_a_place():
@@ -39,7 +39,7 @@ def test_nulls_sort_first(make):
 
 def test_metadata_and_lineage(make):
     f = make([{}])
-    g = f.register_feature("x", {"a": 1}, "sequence", FeatureProvenance(produced_by="me"))
+    g = f.register_feature("x", {"a": 1}, "sequence", Lineage(produced_by="me"))
     assert g.metadata.feature_catalog["x"] == {"a": 1}
     assert g.metadata.feature_provenance["x"].produced_by == "me"
     assert OutputModality.SEQUENCE in g.metadata.output_modalities

@@ -43,7 +43,7 @@ def test_round_trips(grid, tmp_path, name):
     adapter = build()
     out = adapter.convert(grid)
     meta = adapter.get_metadata(out)
-    assert type(meta).from_dict(json.loads(json.dumps(meta.to_dict()))).shapes == meta.shapes
+    assert json.loads(json.dumps(meta)) == meta and {k: tuple(v["shape"]) for k, v in meta["arrays"].items()} == {k: v.shape for k, v in out.arrays().items()}
     for fmt in formats:
         path = adapter.serialize(out, tmp_path / f"{name}.{fmt}", fmt)
         back = adapter.deserialize(path, fmt)
@@ -102,7 +102,9 @@ def test_graph(grid):
 def test_stream(grid):
     out = StreamAdapter(state_cols=["value"], event_type_col="kind", dtype="float64").convert(grid)
     assert out.n_events == 45 and out.timestamps[-1] == 4 * 86400 and out.inter_times[0] == 0 and out.inter_times.sum() == 4 * 86400
-    assert out.event_type_names == ["A", "B", "C"] and len(out.get_sequences_by_type()["B"]) == 15
+    assert out.event_type_names == ["A", "B", "C"] and len(out.get_sequences_by_type()[1][0]) == 15 and out.get_sequences_by_type()[1][1].shape == (15, 1)
+    whole = StreamAdapter(state_cols=["value"]).convert(grid).get_sequences_by_type()
+    assert list(whole) == [0] and len(whole[0][0]) == 45 and whole[0][1].shape == (45, 1)
     some = StreamAdapter(state_cols=["value"], max_events=10, time_scale="normalize", dtype="float64").convert(grid)
     assert some.n_events == 10 and abs(some.timestamps.mean()) < 1e-9 and abs(some.timestamps.std() - 1) < 1e-9
     late = StreamAdapter(state_cols=["value"], time_origin="custom", custom_origin="2024-01-01T00:00:10", time_scale="log", dtype="float64").convert(grid)
@@ -164,6 +166,9 @@ def test_tracking(tmp_path):
     t.set_tags({"x": "y"})
     t.log_dict({"k": 1}, "f")
     t.log_artifact("p")
-    assert len((tmp_path / "t.jsonl").read_text().splitlines()) == 5
+    found = [json.loads(x) for x in (tmp_path / "t.jsonl").read_text().splitlines()]
+    assert [x["kind"] for x in found] == ["param", "metric", "tags", "dict", "artifact"] and found[1]["step"] == 2 and found[4]["artifact_path"] is None
+    with pytest.raises(TypeError):
+        t.log_param(key="a", nothing=1)
     with pytest.raises(ImportError):
         MLflowTracker("e")
