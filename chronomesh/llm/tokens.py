@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import arrow_map, texts
+from chronomesh.llm.common import arrow_map, materialize, texts
 
 #: Distinct words kept in one task's cache before it starts anew.
 CACHE_WORDS = 250_000
@@ -152,11 +152,11 @@ def length_histogram(docs: DataFrame, path: str, text: str = "text") -> DataFram
     * ``quantile`` share of documents of at most this length.
 
     Null and empty texts count as length 0, repeated rows count each, an empty
-    table gives no row, other columns are ignored. Only the histogram is shuffled;
-    sums run over blocks of lengths and then over the blocks' totals, so no
+    table gives no row, other columns are ignored. Only the histogram is shuffled,
+    and it is written once, so texts are encoded once; sums run over blocks of lengths and then over the blocks' totals, so no
     single task sees all lengths.
     """
-    hist = with_length(docs, path, text).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    hist = materialize(with_length(docs, path, text).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / 4096))
     tokens: Column = F.col("n_docs") * F.col("n_tokens")
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(tokens).alias("bt"))
