@@ -24,6 +24,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+#: Tables written inside each open :func:`scratch`, innermost last.
+_written: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as Parquet and read it back.
 
@@ -31,7 +35,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     is read again.
     """
     small_batches(df.sparkSession)
-    return staged(df, name)
+    out = staged(df, name)
+    for tables in _written[-1:]:
+        tables.append(out)
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that are written inside, for :func:`discard` once nothing reads them any more."""
+    tables: list[DataFrame] = []
+    _written.append(tables)
+    try:
+        yield tables
+    finally:
+        _written.remove(tables)
 
 
 def discard(df: DataFrame) -> None:
@@ -40,7 +58,7 @@ def discard(df: DataFrame) -> None:
     root = shared_dir(spark)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+        if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/") + "/"):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
