@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomesh.llm import decontaminate, langid, linededup, packing, simhash
-from chronomesh.llm.common import materialize
+from chronomesh.llm.common import discard, materialize, scratch
 from chronomesh.llm.queries import tokenizer_path
 
 
@@ -57,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    """All stages on ``documents``, each written and read again before the next.
+
+    A stage's helper tables and its input go once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with scratch() as written:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        for table in [*before, *written[:-1]]:
+            discard(table)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
