@@ -48,7 +48,7 @@ def moving_window_aggregation(event_frame: EventFrame, window: str, group_by: Se
         raise ValueError(f"unknown aggregate: {agg}")
     out, width = output_col or f"{value_col}_{agg}_{window}", parse_duration(window)
     df, keys = event_frame.df.withColumn("_us", micros(event_frame.schema.timestamp_col)), list(group_by)
-    if spread_groups(df) or not keys:
+    if not keys or spread_groups(df, keys):
         own = df.withColumns({BLOCK: F.floor(F.col("_us") / width), HALO: F.lit(False)})
         later = own.select(*keys, value_col, "_us", (F.col(BLOCK) + 1).alias(BLOCK), F.lit(True).alias(HALO))
         df, keys = own.unionByName(later, allowMissingColumns=True), [*keys, BLOCK]

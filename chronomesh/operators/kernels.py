@@ -23,12 +23,25 @@ def event_order(frame: EventFrame) -> list[str]:
     return [frame.schema.timestamp_col, *([frame.schema.id_col] if frame.schema.id_col else [])]
 
 
-def spread_groups(df: DataFrame) -> str:
-    """The block of time by which groups are cut too: the session's ``chronomesh.blockGroups``, such as ``1d``; by default none.
+#: Estimated bytes of a plan from which its groups are counted, and rows of a group that one task should not sort.
+CHECK_BYTES, HOT_ROWS = 8 << 30, 5_000_000
 
-    A group of a large share of all rows then spreads over as many tasks as it has blocks.
+
+def spread_groups(df: DataFrame, keys: Sequence[str]) -> str:
+    """The block of time by which groups are cut too, or nothing.
+
+    A group of a large share of all rows then spreads over as many tasks as it has
+    blocks, with the same results. The session's ``chronomesh.blockGroups``, such as
+    ``1d`` or ``never``, decides. Without it the rows of the largest group do, which
+    are counted where the optimizer takes the frame for large.
     """
-    return df.sparkSession.conf.get("chronomesh.blockGroups", "")
+    own = df.sparkSession.conf.get("chronomesh.blockGroups", "")
+    if own or not keys:
+        return "" if own == "never" else own
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < CHECK_BYTES:
+        return ""
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return "1d" if most > HOT_ROWS else ""
 
 
 def sequenced(
@@ -40,7 +53,7 @@ def sequenced(
     (:func:`spread_groups`), by block of time too, and the frame has more rows: copies of ``order`` and ``cols`` of the neighbouring
     blocks' rows. Compute the columns, then call :func:`own_rows`.
     """
-    spread = spread_groups(df)
+    spread = spread_groups(df, keys)
     if keys and not spread:
         return df, Window.partitionBy(*keys).orderBy(*order)
     width = parse_duration(spread or block)
@@ -146,7 +159,7 @@ def asof_join(
     marks = right.where(F.col(right_ts).isNotNull()).select(micros(right_ts).alias("_us"), *(F.col(b).alias(k) for k, (_, b) in zip(keys, by)), row.alias("_row"))
     events = events.withColumn("_side", F.lit(1)).drop("_row")
     both = events.unionByName(marks.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    places, spread = keys, spread_groups(left)
+    places, spread = keys, spread_groups(left, [a for a, _ in by])
     blocked = not by or bool(spread)
     if blocked:
         keys = [*keys, BLOCK]

@@ -172,10 +172,19 @@ def _points(frame: EventFrame) -> DataFrame:
     return frame.df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).groupBy(F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
 
 
+#: Places of a cell with which a search for neighbours may start.
+CROWD = 64
+
+
+def _cell_of(metres: float, top: float) -> tuple[float, float]:
+    """Degrees of longitude and latitude that are so many metres at least, up to the latitude ``top``."""
+    dy = metres / METRES_PER_DEGREE
+    return min(360.0, dy / max(1e-6, math.cos(math.radians(min(89.9, top + dy))))), dy
+
+
 def _pairs(points: DataFrame, other: DataFrame, metres: float, top: float) -> DataFrame:
     """Pairs within ``metres`` of each other, with ``_d``; cells are widened for the latitude furthest from the equator."""
-    dy = metres / METRES_PER_DEGREE
-    dx = min(360.0, dy / max(1e-6, math.cos(math.radians(min(89.9, top + dy)))))
+    dx, dy = _cell_of(metres, top)
     both = points.withColumn("_own", F.lit(True)).unionByName(other.withColumn("_own", F.lit(False))) if other is not points else None
     near = neighbours(points if both is None else both, "_x", "_y", dx, dy, "_n", [] if both is None else ["_own"])
     if both is not None:
@@ -194,8 +203,10 @@ def _back(frame: EventFrame, found: DataFrame, name: str) -> DataFrame:
 class PairCorrelationStep(Step):
     """``nearest_neighbor_distance``: great-circle metres to the nearest other event, 0 if there is none.
 
-    The search widens its radius for those that have found none yet, from one
-    sixteenth of ``max_distance`` or twice the mean spacing. :func:`ripley_table` has g(r) itself.
+    The search widens its radius for those that have found none yet. It starts at
+    one sixteenth of ``max_distance`` or twice the mean spacing, or less where
+    events crowd: no cell of the first radius holds more than CROWD places.
+    :func:`ripley_table` has g(r) itself.
     """
 
     max_distance: float = 1000.0
@@ -213,6 +224,11 @@ class PairCorrelationStep(Step):
         found = points.where("_n > 1").select("_x", "_y", F.lit(0.0).alias(name))
         left = points.where("_n = 1")
         reach = max(self.max_distance / 16, 2 * METRES_PER_DEGREE * math.sqrt((width or 0.0) * (height or 0.0) / max(1, n)))
+        while n and reach > 0.01:
+            dx, dy = _cell_of(reach, top)
+            if points.groupBy(F.floor(F.col("_x") / dx), F.floor(F.col("_y") / dy)).count().agg(F.max("count")).first()[0] <= CROWD:
+                break
+            reach /= 4
         while n and n > 1:
             hits = _pairs(left, points, reach, top).where("_d > 0 or _x <> _x_n or _y <> _y_n").groupBy("_x", "_y").agg(F.min("_d").alias(name))
             hits = staged(hits)

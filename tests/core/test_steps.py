@@ -238,3 +238,23 @@ def test_asof(make, rows_of):
     assert [r["x"] for r in got] == [-1, 3, 3, -1]
     got = rows_of(SpatioTemporalContextJoinStep(ctx.withColumnRenamed("t", "ts"), "user", "ts", ["x"]).run(f))
     assert [r["x"] for r in got] == [None, 3, 2, 3]
+
+
+def test_neighbours_where_events_crowd(make, rows_of, monkeypatch):
+    """All events but two in one cell: the search starts small and finds what brute force finds."""
+    import math
+    import random
+
+    from chronomesh.operators import point_process as P
+
+    monkeypatch.setattr(P, "CROWD", 3)
+    r = random.Random(3)
+    places = [(-87.6 + r.random() * 1e-4, 41.8 + r.random() * 1e-4) for _ in range(60)] + [(-88.0, 42.0), (-80.0, 30.0)]
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    got = rows_of(P.PairCorrelationStep().run(make([{"lon": x, "lat": y} for x, y in places])))
+    for i, row in enumerate(got):
+        assert abs(row["nearest_neighbor_distance"] - min(metres(places[i], b) for j, b in enumerate(places) if j != i)) < 1e-3

@@ -119,8 +119,12 @@ def test_windows_of_time(make):
     assert sum(r.n for r in tumbling(f.df, "ts", "1 hour", slide="30 minutes").collect()) == 8
 
 
-def test_spread_groups_change_nothing(make, rows_of, spark):
-    """Groups cut by blocks of time, for hot ones, give what whole groups give."""
+@pytest.mark.parametrize("by_count", [False, True])
+def test_spread_groups_change_nothing(make, rows_of, spark, monkeypatch, by_count):
+    """Groups cut by blocks of time, for hot ones, give what whole groups give; by the setting or by their counts."""
+    from chronomesh.operators import features as FE
+    from chronomesh.operators import kernels
+    from chronomesh.pipeline import LambdaStep
     from pyspark.sql import types as ST
 
     from chronomesh.operators import point_process as P
@@ -133,11 +137,16 @@ def test_spread_groups_change_nothing(make, rows_of, spark):
     steps = [
         T.TemporalLagStep(["value"], [1, 4, -2], group_cols=["user"]), T.MovingAverageStep(["value"], [5], group_cols=["user"], center=True),
         P.HawkesKernelStep(max_history=4, group_cols=["user"]), P.DurationFeaturesStep(group_cols=["user"]), R.StreamingWindowStep(5, "40h", group_cols=["user"]),
-        R.StreamingInterEventStep(group_cols=["user"]),
+        R.StreamingInterEventStep(group_cols=["user"]), LambdaStep(lambda x: FE.moving_window_aggregation(x, "30h", ["user"], "value", "sum")),
         *(SpatioTemporalContextJoinStep(ctx, "user", "ts", ["x"], way) for way in ("asof_backward", "asof_forward")),
     ]
     want = [rows_of(s.run(f)) for s in steps]
-    spark.conf.set("chronomesh.blockGroups", "1d")
+    if by_count:
+        monkeypatch.setattr(kernels, "CHECK_BYTES", 0)
+        monkeypatch.setattr(kernels, "HOT_ROWS", 5)
+        assert kernels.spread_groups(f.df, ["user"]) == "1d" and kernels.spread_groups(f.df, ["id"]) == ""
+    else:
+        spark.conf.set("chronomesh.blockGroups", "1d")
     try:
         for s, w in zip(steps, want):
             got = rows_of(s.run(f))
