@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh import cli
 from chronomesh.adapters.graph import GraphAdapter
 from chronomesh.adapters.raster import RasterAdapter
 from chronomesh.adapters.sequence import SequenceAdapter
@@ -16,6 +17,7 @@ from chronomesh.adapters.stream import StreamAdapter
 from chronomesh.adapters.table import TableAdapter
 from chronomesh.frame import EventFrame
 from chronomesh.functions.geo import CRS, PROJECTIONS
+from chronomesh.functions.time import parse_duration
 from chronomesh.operators import context as C
 from chronomesh.operators import features as FE
 from chronomesh.operators import point_process as P
@@ -32,7 +34,7 @@ from chronomesh.registry import get_default_registry
 from chronomesh.schema import ContextSchema
 from chronomesh.sources import crime
 from chronomesh.sources.context import DemographicsSource, DynamicTemporalSource, SpatioTemporalSource, SpecialEventsSource, StaticSpatialSource, WeatherSource
-from chronomesh.sources.sinks import FileSink
+from chronomesh.sources.sinks import FileSink, StreamSink
 from chronomesh.streaming import steps as R
 from chronomesh.streaming.runner import BranchingPipeline, StreamPipeline, tumbling
 
@@ -641,3 +643,41 @@ def stream_normalized(spark, sf_dir):
 def stream_log(spark, sf_dir):
     """Logarithms of the time since a given origin."""
     return rounded(StreamAdapter(state_cols=["value"], time_scale="log", time_origin="custom", custom_origin="2024-01-01T00:00:00").frame(events(spark, sf_dir)), "time")
+
+
+# -- durations, the command line, a real stream -----------------------------------
+DURATIONS = ("7 days", "6 hours", "90 minutes", "2 weeks", "45 seconds", "1 day", "250 milliseconds")
+
+
+@query("SELECT t AS duration, CAST(epoch_us(CAST(t AS INTERVAL)) AS BIGINT) AS us FROM (SELECT unnest([" + ", ".join(f"'{d}'" for d in DURATIONS) + "]) AS t)")
+def durations(spark, sf_dir):
+    """Durations as users write them, in microseconds."""
+    rows = [(d, parse_duration(d.replace("milliseconds", "ms"))) for d in DURATIONS]
+    return _few(spark, rows, "duration string, us long")
+
+
+@query(f""", {RAW}, k AS ({CLEANED}), e2 AS (SELECT date AS ts, latitude AS lat, longitude AS lon FROM k), {_krueger('EPSG:26971', 'x', 'y').replace('FROM e)', 'FROM e2)', 1)}, o AS (SELECT min(x) AS x0, min(y) AS y0 FROM pr),
+b AS (SELECT CAST(floor((y - y0) / 500.0) * 100000 + floor((x - x0) / 500.0) AS BIGINT) AS grid_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS time_bin, count(*) AS event_count FROM pr CROSS JOIN o GROUP BY 1, 2)
+SELECT grid_id, time_bin, event_count, day(time_bin) AS day FROM b""")
+def cli_run(spark, sf_dir):
+    """The command line: raw files, a recipe in a YAML file, Parquet out."""
+    source, out = _folder(spark, "crime"), _folder(spark, "out")
+    _raw_crime(spark, sf_dir).drop("part").write.parquet(source)
+    with tempfile.TemporaryDirectory() as folder:
+        config = Path(folder) / "recipe.yaml"
+        config.write_text("dataset: chicago_crime\nrecipe: v1\ngrid: {size_m: 500.0}\ntemporal: {bin_size: 1d}\noutput: {format: parquet}\n")
+        if cli.main(["run", str(config), "--input", source, "--output", out]):
+            raise RuntimeError("the command failed")
+    return rounded(spark.read.parquet(out), "event_count", "day", keep=("grid_id", "time_bin"))
+
+
+@query(f", r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e), t AS (SELECT a.event_id, sum(b.value * exp(CAST(0.1 AS DOUBLE) * (epoch_us(b.ts) - epoch_us(a.ts)) / 3.6e9)) AS s FROM e a JOIN e b ON a.user_id = b.user_id AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY 1) SELECT event_id, rn % 7 AS buffer_position, {R6('s')} AS value_decayed_sum FROM r JOIN t USING (event_id)")
+def structured_stream(spark, sf_dir):
+    """The same two steps on a stream of files, with a state for each user, into files."""
+    source, out = _folder(spark, "source"), _folder(spark, "stream")
+    df = events(spark, sf_dir).df.withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(source)
+    steps = [R.EventBufferStep(7, group_cols=["user_id"]), R.StreamingDecayStep(["value"], group_cols=["user_id"])]
+    stream = StreamPipeline(steps).stream(spark.readStream.schema(df.schema).parquet(source), "ts", ["user_id"], id_col="event_id")
+    StreamSink(f"{out}-checkpoint").files(stream, out).awaitTermination()
+    return rounded(spark.read.schema(stream.schema).parquet(out), "buffer_position", "value_decayed_sum")
