@@ -15,13 +15,14 @@ from chronomesh.plans.stage import shared_dir, staged
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held in the worker at once.
-BATCH_ROWS = "1000"
+#: Rows and bytes of an Arrow batch, which is held in the worker at once: texts may be long, so one row at least makes a batch.
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 #: Tables written inside each open :func:`scratch`, innermost last.

@@ -41,12 +41,10 @@ from chronomesh.llm.common import arrow_map, frugal, materialize, partitions_for
 GRAM = 32
 #: Bytes of a document looked at in one go.
 STRIDE = 1 << 20
-#: Rows of a small frame that may be broadcast.
-BROADCAST_ROWS = 300_000
 #: Surroundings of one gram among a task's FLUSH_ROWS anchors beyond which its windows are dealt out singly.
 HOT_RUNS = 16
 #: Anchors that a task holds before it sends them on.
-FLUSH_ROWS = 300_000
+FLUSH_ROWS = 120_000
 LAST = (1 << 63) - 1
 _RUN = np.dtype([("gram", "<i8"), ("context", "<i8"), ("doc", "<i8"), ("hash", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
@@ -182,8 +180,8 @@ def _settled(blobs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for shard, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "runs"))):
-                rows = np.frombuffer(blob, _RUN)
+            for shard, kind, blob in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("runs")):
+                rows = np.frombuffer(blob.as_buffer(), _RUN)
                 if kind == 1:
                     yield out(rows, None, None)
                     continue
@@ -191,7 +189,7 @@ def _settled(blobs: DataFrame, shards: int) -> DataFrame:
                     if held:
                         yield from shard_rows(held, now[1])
                     held, now = [], (shard, kind)
-                held.append(rows)
+                held.append(rows.copy())  # a view would keep the whole batch
         if held:
             yield from shard_rows(held, now[1])
 
@@ -345,8 +343,6 @@ def repeated_spans(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     spans = runs.where("gram is null").select("doc", "hash", "start", "n")
     if n:
         per_doc = open_runs.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "n", "gram", "hot")).alias("open"))  # within one document
-        if n <= BROADCAST_ROWS:
-            per_doc = F.broadcast(per_doc)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, kinds = ["gram", "hot", "doc", "hash", "start", "n", "part"], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
