@@ -31,6 +31,8 @@ END = b"\xff"
 PLAIN = re.compile("[\x21-\x3b\x3d-\x7b\x7d\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]+").fullmatch
 #: The vocabulary's own split of a word into parts (a fixed pattern of the file).
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+#: Marks that end words and are a part of their own there.
+MARKS = frozenset(".,;:!?")
 #: Characters that Python takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]").search
 _encoders: dict[str, WordEncoder] = {}
@@ -66,10 +68,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bpe = _merger(path)
+        self.marks = {m: self.bpe._core_bpe.encode_single_piece(m.encode() + END) for m in MARKS}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
@@ -80,15 +84,24 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         piece, lists = self.bpe._core_bpe.encode_single_piece, []
+        cores, append = self.cores, lists.append
         for word in words:
-            if PLAIN(word):
-                parts = PARTS(word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower())
+            core, mark = word.lower(), []
+            if core[-1] in MARKS and len(core) > 1:  # most words are letters and at most one mark
+                core, mark = core[:-1], self.marks[core[-1]]
+            if core.isascii() and core.isalpha():
+                ids = cores.get(core)
+                if ids is None:
+                    ids = cores[core] = piece(core.encode() + END)
+                append(ids + mark if mark else ids)
+            elif PLAIN(word):
+                parts = PARTS(unicodedata.normalize("NFC", word).lower())
                 ids = piece(parts[0].encode() + END)
                 for part in parts[1:]:
                     ids += piece(part.encode() + END)
+                append(ids)
             else:
-                ids = self._encode(word).tolist()
-            lists.append(ids)
+                append(self._encode(word).tolist())
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         n = len(self.index)
