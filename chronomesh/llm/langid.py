@@ -199,7 +199,13 @@ def learnable(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per row: key, held_out, lang_pred, score; held-out rows are never learnt from."""
+    """Per row: key, held_out, lang_pred, score; held-out rows are never learnt from.
+
+    Every row gives one, repeated ones too; rows without an id are neither held out
+    nor learnt from; null and letterless texts are ``und`` with score 0; an empty
+    table gives no row; columns beside the key and the text (and, to learn from,
+    lang) are not read.
+    """
     model = fit(learnable(docs, key), key=key)
     found = with_language(docs.select(key, "text"), model)
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
