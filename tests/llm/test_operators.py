@@ -542,3 +542,15 @@ def test_components(spark):
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 250, 250: 250}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    """A hub, paths in random order and random edges, as by brute force."""
+    r = np.random.default_rng(4)
+    edges = [(5000 + int(k), 7000) for k in range(900)] + [tuple(map(int, r.permutation([k, k + 1]))) for k in range(9000, 9040)] + [tuple(map(int, x)) for x in r.integers(0, 400, (300, 2))]
+    label = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: label[x] for x in label if x in got} and {x for e in edges if e[0] != e[1] for x in e} == set(got)

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import corpus_pipeline
+from chronomesh.plans.stage import shared_dir
 from tests.llm.test_neardup import slow_kept
 from tests.llm.test_operators import NORMAL, lower, slow_lines, slow_scan
 
@@ -41,7 +42,12 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    """Rows come out, and of the stages' tables only the last one's input and helpers stay."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before if os.listdir(f"{folder}/{x}")}
+    assert "benchmark" in left and not left & {"language", "lines", "near_duplicates", "shingles", "classes", "edges", "gone"}
 
 
 def test_queries(spark):
