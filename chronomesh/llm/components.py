@@ -8,39 +8,40 @@ from pyspark.sql import functions as F
 from chronomesh.llm.common import discard, materialize
 
 
-def _stars(edges: DataFrame, centre: str, other: str, to_self: bool) -> DataFrame:
-    """Link ``other`` (and the centre itself) to the least of each centre's neighbourhood."""
-    least = edges.groupBy(F.col(centre).alias("c")).agg(F.min(other).alias("m")).withColumn("m", F.least("m", "c"))
-    joined = edges.join(least, F.col(centre) == F.col("c"))
-    if to_self:
-        out = joined.select(F.col(other).alias("a"), F.col("m").alias("b")).union(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
-    else:
-        out = joined.where(F.col(other) > F.col("c")).select(F.col(other).alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
-
-
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _large_stars(edges: DataFrame) -> DataFrame:
+    """Link ``a`` of each edge (a > b) to the least neighbour of ``b``.
+
+    The least neighbours are written, so that the join's sides are plain: a small
+    one is broadcast, and of a large one adaptive execution splits the edges of a
+    node that very many others are linked to.
+    """
+    least = materialize(edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), "least")
+    return edges.join(least, F.col("b") == F.col("c"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_stars(edges: DataFrame) -> DataFrame:
+    """Link each ``a``, and all that it is linked to, to the least of these."""
+    least = edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+    joined = edges.join(least, F.col("a") == F.col("c")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+    return joined.select("e.*").where("a <> b").distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (a, b); component is its least node.
 
-    Large stars and small stars alternate until nothing changes; each round is
-    written to the shared folder. Loops, repeated edges and nulls in an edge are
-    ignored. A node with very many edges is aggregated before it is joined, and
-    adaptive execution splits its side of the join.
+    Large stars and small stars alternate until nothing changes, which takes some
+    log(n) rounds for n nodes in a row; each round is written to the shared folder.
+    Loops, repeated edges and nulls in an edge are ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     current = materialize(edges, "edges")
     seen = None
-    for _ in range(rounds):
-        both = current.union(current.select("b", "a"))
-        large = _stars(both, "a", "b", to_self=False)
-        small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        following = materialize(_stars(small, "a", "b", to_self=True), "edges")
+    while True:
+        following = materialize(_small_stars(_large_stars(current)), "edges")
         now = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(current)
         current = following
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b")).distinct()
