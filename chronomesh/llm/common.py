@@ -29,19 +29,32 @@ def small_batches(spark: SparkSession) -> None:
 _written: list[list[DataFrame]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as Parquet and read it back.
 
     The files survive the loss of any executor, and nothing but the wanted columns
-    is read again.
+    is read again. With ``sweep`` the shuffles of the write go when it is done.
     """
     small_batches(df.sparkSession)
-    out = staged(df, name)
+    with _sweeping(df.sparkSession) if sweep else contextlib.nullcontext():
+        out = staged(df, name)
     for tables in _written[-1:]:
         tables.append(out)
     return out
 
 
+@contextlib.contextmanager
+def _sweeping(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs inside at its end; else they stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """The tables that are written inside, for :func:`discard` once nothing reads them any more."""

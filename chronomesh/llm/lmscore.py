@@ -11,21 +11,22 @@ quantisation of the pairs.
 Counting is distributed: tasks count what they read, send sorted runs to shards
 by ranges of hashes, and each shard merges its runs and fills its own segment of
 the filter. Filter and word counts grow with the corpus. Up to ``max_broadcast``
-bytes they are broadcast. Beyond, only the HOT most frequent words and pairs are,
-lookups of all others travel to the shards, and the scores are the same.
+bytes they are broadcast. Beyond, only the HOT most frequent words and pairs are;
+of all others, each block of rows asks the shards once, and the scores are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import LOWER, arrow_map, fresh, frugal, materialize, partitions_for, texts
+from chronomesh.llm.common import LOWER, arrow_map, frugal, give_back, materialize, partitions_for, texts
 
 #: Base of the quantised counts.
 BASE = 1.5
@@ -34,7 +35,7 @@ PAIR_WEIGHT = 0.5
 #: Bits and probes of the filter for each entry.
 ENTRY_BITS, PROBES = 12, 7
 #: Largest filter and table together that go to every worker.
-MAX_BROADCAST = 256 << 20
+MAX_BROADCAST = 32 << 20
 #: Frequent words, and pairs, that every worker holds where the filter itself is too large.
 HOT = 1 << 20
 END, BEGIN = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
@@ -42,6 +43,8 @@ CACHE_WORDS = 500_000
 #: Counts of one task, which are below its FLUSH_TOKENS, and of the corpus.
 _COUNT, _TOTAL = np.dtype([("h", "<u8"), ("c", "<u4")]), np.dtype([("h", "<u8"), ("c", "<u8")])
 FLUSH_TOKENS = 8_000_000
+#: Bytes of rows that look up together at the shards.
+UNIT_BYTES = 8 << 20
 
 
 def quantise(c: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ class Words:
             return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
-def _tokens(words: Words, batch: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tokens(words: Words, batch: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers of tokens with each text's end, token counts of the texts) of up to about half a million tokens."""
     held, sizes, n = [], [], 0
     for text in batch:
@@ -152,7 +155,7 @@ def _count_blobs(docs: DataFrame, text: str, shards: int) -> DataFrame:
         for k in range(shards):
             a, b = w[wc[k] : wc[k + 1]], p[pc[k] : pc[k + 1]]
             once = b["c"] == 1
-            rows.append((k, a.tobytes(), b["h"][once].tobytes(), b[~once].tobytes()))
+            rows.append((k, a.tobytes(), _packed(b["h"][once]), b[~once].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "words", "once", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,7 @@ def _merged(blobs: DataFrame, shards: int) -> DataFrame:
     def close(shard: int, words: list, pairs: list) -> tuple:
         w, p = _sums(words, _TOTAL), _sums(pairs, _TOTAL)
         levels = quantise(p["c"])
-        return shard, w.tobytes(), p["h"].tobytes(), levels.astype(np.uint8).tobytes(), int(w["c"].sum(dtype=np.int64)), len(w), int(levels.sum())
+        return shard, w.tobytes(), _packed(p["h"]), levels.astype(np.uint8).tobytes(), int(w["c"].sum(dtype=np.int64)), len(w), int(levels.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(row: tuple) -> pa.RecordBatch:
@@ -195,7 +198,7 @@ def _merged(blobs: DataFrame, shards: int) -> DataFrame:
                     words, pairs = [], []
                 now = shard
                 words.append(np.frombuffer(a, _COUNT))
-                once = np.frombuffer(b, "<u8")
+                once = _unpacked(b)
                 pairs += [_counts_of(once, np.ones(len(once), np.uint32)), np.frombuffer(c, _COUNT)]
                 if len(pairs) >= 64:  # keeps the shard's memory near that of its distinct n-grams
                     words, pairs = [_sums(words, _TOTAL)], [_sums(pairs, _TOTAL)]
@@ -271,7 +274,7 @@ class Model:
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Count the words and pairs of all ``docs``; null texts are empty, other columns are ignored."""
     n_shards = max(partitions_for(docs.sparkSession), docs.rdd.getNumPartitions())
-    rows = materialize(_merged(_count_blobs(docs, text, n_shards), n_shards), "ngrams")
+    rows = materialize(_merged(_count_blobs(docs, text, n_shards), n_shards), "ngrams", sweep=True)
     tokens, types, most = rows.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "entries")))).first()
     bits = -(-most * ENTRY_BITS // 8) * 8
     # every document has one end, so the count of ends is the number of documents
@@ -309,7 +312,7 @@ def _score_here(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str)
 
     def fill(batch: pa.RecordBatch) -> dict:
         cols = [batch.column(c).to_pylist() for c in ("pairs", "levels")]
-        return {"shard": batch.column("shard"), "words": batch.column("words"), "segment": [fill_segment(np.frombuffer(p, "<u8"), np.frombuffer(q, np.uint8), bits).tobytes() for p, q in zip(*cols)]}
+        return {"shard": batch.column("shard"), "words": batch.column("words"), "segment": [fill_segment(_unpacked(p), np.frombuffer(q, np.uint8), bits).tobytes() for p, q in zip(*cols)]}
 
     found = arrow_map(model.rows, fill, "shard int, words binary, segment binary").toArrow()
     data, tables = np.zeros(n_shards * bits // 8, np.uint8), {}
@@ -360,7 +363,7 @@ def _hot(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
     def top(batch: pa.RecordBatch) -> dict:
         out = {"pair": [], "h": [], "v": []}
         for shard, w, p, q in zip(*(batch.column(c).to_pylist() for c in ("shard", "words", "pairs", "levels"))):
-            w, p, q = np.frombuffer(w, _TOTAL), np.frombuffer(p, "<u8"), np.frombuffer(q, np.uint8)
+            w, p, q = np.frombuffer(w, _TOTAL), _unpacked(p), np.frombuffer(q, np.uint8)
             grid = Filter(fill_segment(p, q, bits), n_shards, bits, shard)
             w, p = w[np.argsort(w["c"], kind="stable")[::-1][:each]], p[np.argsort(q, kind="stable")[::-1][:each]]
             levels = grid.levels(p)
@@ -380,82 +383,180 @@ def _hot(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted hashes in some 5.5 bytes each: differences of the upper halves, compressed, and the lower halves."""
+    if not len(h):
+        return b""
+    steps = np.diff((h >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T)
+    return len(h).to_bytes(8, "little") + h.astype("<u4").tobytes() + _zipped(planes)
+
+
+def _unpacked(blob: bytes | None) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    n = int.from_bytes(blob[:8], "little")
+    steps = np.ascontiguousarray(_unzipped(blob[8 + 4 * n :], np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | np.frombuffer(blob, "<u4", n, 8)
+
+
+def _zipped(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unzipped(blob: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as compressed Arrow streams of about UNIT_BYTES, each with a number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def close() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for batch in held:
+                    stream.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["unit", "blob"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.nbytes for x in held) >= UNIT_BYTES:
+                    yield close()
+                    n, held = n + 1, []
+        if held:
+            yield close()
+
+    return docs.mapInArrow(frugal(run), "unit long, blob binary")
+
+
+class _Unit:
+    """A unit's rows, the numbers of its words in blocks, and the hashes of its tokens' pairs."""
+
+    def __init__(self, words: Words, blob: bytes, text: str):
+        self.batches = list(pa.ipc.open_stream(blob))
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs = []
+        for codes, sizes in _tokens(words, (t for batch in self.batches for t in texts(batch, text))):
+            met = np.flatnonzero(np.bincount(codes))
+            number = np.zeros(len(words.index), np.int32)
+            number[met] = np.arange(len(met), dtype=np.int32)
+            own = words.hashes[codes]
+            before = np.roll(own, 1)
+            before[np.cumsum(sizes) - sizes] = BEGIN
+            pairs.append(pair_hash(before, own))
+            self.blocks.append((number[codes], words.hashes[met], sizes))
+        self.pairs = np.concatenate(pairs)
+        self.words = np.unique(np.concatenate([own for _, own, _ in self.blocks]))
+
+
+def _cuts(h: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted hashes begins, and the end."""
+    return np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+
+
 def _score_there(docs: DataFrame, model: Model, keys: tuple[str, ...], text: str) -> DataFrame:
     """The same scores where the filter is too large for a worker: lookups of all but the hot go to the shards.
 
-    A document sends a row for each of its distinct pairs. What is hot is known
-    at once, and its rows are dealt out evenly by the joins that look up the rest.
+    Rows travel in units of some million tokens. A unit asks a shard for its
+    distinct words and pairs, in the order of hashes, and the shard answers with
+    counts and levels in that order. Unit and answers then meet in one task.
     """
     bits, n_shards, tokens, types, n_docs = model.bits, model.n_shards, model.tokens, model.types, model.n_docs
     shared = docs.sparkSession.sparkContext.broadcast(_hot(model))
-    row, named = fresh(docs, "row_of_score"), [f"key_{k}" for k in range(len(keys))]
     kinds = dict(docs.dtypes)
-    fields = ["row", "v", "w", "p", "history", "word", "level", "n"]
+    units = materialize(_units(docs.select(*keys, text)), "units")
+    n_units = units.count()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            (known, counts), (pairs, levels) = shared.value
-            found = zip(batch.column(row).to_pylist(), texts(batch, text))
-            for at, (k, t) in enumerate(found):
-                for codes, sizes in _tokens(words, [t]):
-                    both, n = np.unique(_pairs(codes, sizes), return_counts=True)
-                    v, w, p = words.hashes[both >> 32], words.hashes[both & 0xFFFFFFFF], _pair_hashes(words, both)
-                    history, word, level = _find(known, counts, v, -1), _find(known, counts, w, -1), _find(pairs, levels, p, -1)
-                    history[both >> 32 == 1] = n_docs
-                    out = [pa.array(np.full(len(n), k)), *(pa.array(x.view(np.int64)) for x in (v, w, p)), *map(pa.array, (history, word, level, n))]
-                    own = [pa.concat_arrays([batch.column(c).slice(at, 1), pa.nulls(len(n) - 1, batch.column(c).type)]) for c in keys]
-                    yield pa.RecordBatch.from_arrays([*out, *own], [*fields, *named])
-
-    schema = ", ".join([*(f"{c} long" for c in fields), *(f"{c} {kinds[k]}" for c, k in zip(named, keys))])
-    asked = materialize(docs.select(*keys, text).withColumn(row, F.monotonically_increasing_id()).mapInArrow(frugal(ask), schema), "asked")
-    wanted = asked.where("word < 0").select(F.col("w").alias("h"), F.lit(False).alias("pair")).union(asked.where("history < 0").select("v", F.lit(False))).union(asked.where("level < 0").select("p", F.lit(True))).distinct()
-
-    def route(batch: pa.RecordBatch) -> dict:
-        return {"h": batch.column("h"), "pair": batch.column("pair"), "shard": shard_of(batch.column("h").to_numpy().view(np.uint64), n_shards).astype(np.int32)}
-
-    routed = arrow_map(wanted, route, "h long, pair boolean, shard int")
-    blank = model.rows.select("shard", "words", "pairs", "levels")
-    both = blank.select("shard", F.lit(0).alias("kind"), "words", "pairs", "levels", F.lit(None).cast("long").alias("h"), F.lit(None).cast("boolean").alias("pair")).union(
-        routed.select("shard", F.lit(1), F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "h", "pair")
-    )
+            hot = shared.value
+            for k, blob in zip(batch.column("unit").to_pylist(), batch.column("blob")):
+                unit = _Unit(words, blob.as_py(), text)
+                asked = [h[_find(*hot[i], h, -1) < 0] for i, h in enumerate((unit.words, np.unique(unit.pairs)))]
+                cuts = [_cuts(h, n_shards) for h in asked]
+                parts = [[_packed(h[cut[s] : cut[s + 1]]) for s in range(n_shards)] for h, cut in zip(asked, cuts)]
+                rows = [(s, k, a, b) for s, (a, b) in enumerate(zip(*parts)) if a or b]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "unit", "words", "pairs"])
+                del unit, asked, parts, rows
+                give_back()
+
+    asked = units.mapInArrow(frugal(ask), "shard int, unit long, words binary, pairs binary")
+    both = model.rows.select("shard", F.lit(-1).cast("long").alias("unit"), "words", "pairs", "levels").union(asked.withColumn("levels", F.lit(None).cast("binary")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, grid, table = None, None, np.zeros(0, _TOTAL)
+        now, grid, known, counts = None, None, None, None
+        for batch in batches:
+            out = []
+            for shard, unit, w, p, q in zip(*(batch.column(c) for c in ("shard", "unit", "words", "pairs", "levels"))):
+                shard, unit, w, p = shard.as_py(), unit.as_py(), w.as_py(), p.as_py()
+                if unit < 0:
+                    table = np.frombuffer(w, _TOTAL)
+                    now, known, counts = shard, np.ascontiguousarray(table["h"]), np.ascontiguousarray(table["c"])
+                    grid = Filter(fill_segment(_unpacked(p), np.frombuffer(q.as_py(), np.uint8), bits), n_shards, bits, shard)
+                    continue
+                w, p = _unpacked(w), _unpacked(p)
+                met = shard == now
+                out.append((unit, shard, _zipped(_find(known, counts, w) if met else np.zeros(len(w), np.int64)), _zipped((grid.levels(p) if met else np.zeros(len(p))).astype(np.uint8))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["unit", "shard", "counts", "blob"])
+
+    dealt = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "unit")
+    known = materialize(dealt.mapInArrow(frugal(look), "unit long, shard int, counts binary, blob binary"), "known", sweep=True)
+
+    def values(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray], answers: list[tuple[int, bytes]], kind: type) -> np.ndarray:
+        out = _find(*hot, h, -1)
+        asked = np.flatnonzero(out < 0)
+        cut = _cuts(h[asked], n_shards)
+        for s, blob in answers:
+            out[asked[cut[s] : cut[s + 1]]] = _unzipped(blob, kind, int(cut[s + 1] - cut[s]))
+        return out
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, answers = Words(), []
         for batch in batches:
-            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            h, pair = batch.column("h").fill_null(0).to_numpy().view(np.uint64), batch.column("pair").fill_null(False).to_numpy(zero_copy_only=False)
-            for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(shard)]]))):
-                if kind[a] == 0:
-                    now = shard[a]
-                    table = np.frombuffer(batch.column("words")[a].as_py(), _TOTAL)
-                    grid = Filter(fill_segment(np.frombuffer(batch.column("pairs")[a].as_py(), "<u8"), np.frombuffer(batch.column("levels")[a].as_py(), np.uint8), bits), n_shards, bits, int(now))
+            hot = shared.value
+            for shard, c, blob in zip(*(batch.column(c) for c in ("shard", "counts", "blob"))):
+                if shard.is_valid:
+                    answers.append((shard.as_py(), c.as_py(), blob.as_py()))
                     continue
-                own, is_pair = h[a:b], pair[a:b]
-                value = np.zeros(len(own), np.int64)
-                if shard[a] == now:
-                    value[is_pair] = grid.levels(own[is_pair])
-                    value[~is_pair] = _find(table["h"], table["c"], own[~is_pair])
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(is_pair), pa.array(value)], ["h", "pair", "value"])
-
-    known = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(frugal(look), "h long, pair boolean, value long")
-    known = materialize(known, "known")
-    joined = asked
-    for c, h, pair in (("word", "w", False), ("history", "v", False), ("level", "p", True)):
-        answers = known.where(F.col("pair") == pair).select(F.col("h").alias("key"), F.col("value").alias(f"{c}_there"))
-        joined = joined.withColumn("key", F.when(F.col(c) < 0, F.col(h)).otherwise(F.xxhash64("row", "p"))).join(answers, "key", "left").withColumn(c, F.when(F.col(c) < 0, F.coalesce(f"{c}_there", F.lit(0))).otherwise(F.col(c))).drop("key", f"{c}_there")
-    total = float(tokens + types + 1)
-    weight = F.when(F.col("history") > 0, F.lit(PAIR_WEIGHT)).otherwise(F.lit(0.0))
-    pair = F.element_at(F.array(*map(F.lit, MIDDLE.tolist())), F.col("level").cast("int") + 1)
-    p = F.log10((1 - weight) * (F.col("word") + 1) / total + weight * F.least(F.lit(1.0), pair / F.greatest(F.col("history"), F.lit(1))))
-    sums = joined.groupBy("row").agg(
-        *(F.max(c).alias(c) for c in named),
-        F.sum("n").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(F.col("word") > 0, F.col("n"))), F.lit(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((F.col("word") + 1) / total)).alias("base_score"),
-        F.sum(F.col("n") * p).alias("score"),
-    )
-    return sums.select(*(F.col(c).alias(k) for c, k in zip(named, keys)), "n_tokens", "n_known", "base_score", "score")
+                unit = _Unit(words, blob.as_py(), text)
+                counts = values(unit.words, hot[0], [(s, x) for s, x, _ in answers], np.int64).astype(np.float64)
+                order = np.argsort(unit.pairs)
+                pairs = unit.pairs[order]
+                first = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+                levels = values(pairs[first], hot[1], [(s, x) for s, _, x in answers], np.uint8).astype(np.uint8)
+                level = np.empty(len(pairs), np.uint8)
+                level[order] = levels[np.cumsum(first) - 1]
+                del order, pairs, first, levels
+                answers, out, at = [], [], 0
+                for codes, own, sizes in unit.blocks:
+                    c = counts[np.searchsorted(unit.words, own)]
+                    starts = np.cumsum(sizes) - sizes
+                    word = c[codes]
+                    history = np.roll(word, 1)
+                    history[starts] = n_docs
+                    p = _log10_probability(MIDDLE[level[at : at + len(codes)]], history, word, tokens, types)
+                    out.append(np.array([sizes, np.add.reduceat((c > 0)[codes].astype(np.int64), starts), np.add.reduceat(_base(c, tokens, types)[codes], starts), np.add.reduceat(p, starts)]))
+                    at += len(codes)
+                n, n_known, base, p = np.concatenate(out, axis=1)
+                at = 0
+                for rows in unit.batches:
+                    part = slice(at, at := at + rows.num_rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(k) for k in keys), *map(pa.array, (n[part].astype(np.int64), n_known[part].astype(np.int64), base[part], p[part]))], [*keys, "n_tokens", "n_known", "base_score", "score"]
+                    )
+                del unit, level, out, codes, word, history, p, rows
+                give_back()
+
+    met = known.union(units.select("unit", F.lit(None).cast("int"), F.lit(None).cast("binary"), "blob"))
+    # answers come before the unit itself, which has no shard
+    met = met.repartition(max(partitions_for(docs.sparkSession), 2 * n_units), "unit").sortWithinPartitions("unit", F.col("shard").asc_nulls_last())
+    return met.mapInArrow(frugal(finish), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), _OUT]))
 
 
 def digest(docs: DataFrame, key: str = "doc_id", max_broadcast: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -80,3 +81,37 @@ def test_counts_beyond_32_bits(spark):
     total = np.frombuffer(row.words, lmscore._TOTAL)
     assert total["c"].tolist() == [5 * ((1 << 32) - 1)] * 3 and row.tokens == 15 * ((1 << 32) - 1)
     assert list(row.levels) == [int(lmscore.quantise(np.array([5 * ((1 << 32) - 1)]))[0])] * 3
+
+
+def test_packed_hashes():
+    """Sorted hashes come back, from less than 8 bytes each; 5.5 where they are dense."""
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 3_000, 200_000):
+        h = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        blob = lmscore._packed(h)
+        assert (lmscore._unpacked(blob) == h).all() and len(blob) <= 7.2 * len(h) + 40
+    edge = np.array([0, 1, (1 << 32) - 1, 1 << 32, (1 << 64) - 1], np.uint64)
+    assert (lmscore._unpacked(lmscore._packed(edge)) == edge).all()
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 40])
+def test_disk_of_lookups(spark, prose, monkeypatch, hot):
+    """Lookups at the shards write a few bytes for a pair of a text, not a row; scores are those of the broadcast."""
+    monkeypatch.setattr(lmscore, "HOT", hot)
+    monkeypatch.setattr(lmscore, "UNIT_BYTES", 100_000, raising=False)
+    docs = spark.createDataFrame([(k, prose(k, 2_000) if k % 50 else None) for k in range(200)], "doc_id long, text string").repartition(3)
+    wrote = []
+
+    def write(df, name, **more):
+        wrote.append(put(df, name, **more))
+        return wrote[-1]
+
+    put = lmscore.materialize
+    monkeypatch.setattr(lmscore, "materialize", write)
+    key = lambda x: (x.doc_id, x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6))
+    far = sorted(map(key, lmscore.digest(docs, max_broadcast=0).collect()))
+    files = [f.removeprefix("file:") for t in wrote for f in t.inputFiles()]
+    n_tokens = sum(x[1] for x in far)
+    assert sum(os.path.getsize(f) for f in files) < 12 * n_tokens  # some 6; a row for each pair of a text takes 20 and more
+    near = sorted(map(key, lmscore.digest(docs, max_broadcast=1 << 40).collect()))
+    assert far == near and len(far) == 200
