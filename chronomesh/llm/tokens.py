@@ -60,6 +60,18 @@ def _merger(path: str):
     return tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
 
 
+class _Numbers(dict):
+    """Numbers words as they are looked up; ``new`` has those that were not there before."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """ids of whole texts, equal to ``encode(text, add_special_tokens=False)``."""
 
@@ -72,7 +84,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.cores: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
@@ -89,7 +101,7 @@ class WordEncoder:
             core, mark = word.lower(), []
             if core[-1] in MARKS and len(core) > 1:  # most words are letters and at most one mark
                 core, mark = core[:-1], self.marks[core[-1]]
-            if core.isascii() and core.isalpha():
+            if core.isalpha() and (core.isascii() or PLAIN(word)):  # a single part, which NFC leaves alone
                 ids = cores.get(core)
                 if ids is None:
                     ids = cores[core] = piece(core.encode() + END)
@@ -104,8 +116,7 @@ class WordEncoder:
                 append(self._encode(word).tolist())
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        n = len(self.index)
-        self.index.update(zip(words, range(n, n + len(words))))
+        n = len(self.index) - len(words)
         while n + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         while self.used + len(flat) > len(self.flat):
@@ -119,11 +130,15 @@ class WordEncoder:
         words = (text or "").split()
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        try:
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(list({w: 0 for w in words if w not in self.index}))
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            try:
+                self._learn(self.index.new)
+            except BaseException:
+                self._clear()  # its new words have numbers and no ids
+                raise
+            self.index.new = []
+        return codes
 
     def length(self, text: str | None) -> int:
         if ODD(text or ""):
