@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.frame import EventFrame
 from chronomesh.functions.time import micros, parse_duration
-from chronomesh.operators.kernels import BLOCK, HALO, event_order, own_rows, sequenced, spread_groups
+from chronomesh.operators.kernels import BLOCK, HALO, event_order, own_rows, sequenced
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
 #: Most values that may become columns of their own.
@@ -38,22 +38,56 @@ def aggregate_by_category(event_frame: EventFrame, group_by: Sequence[str], cate
     return event_frame.produced(df, "aggregate_by_category", named, [*group_by, category_col])
 
 
+def _parts(agg: str, value: Column) -> dict[str, Column]:
+    """Aggregates of which those of two sets of rows can be merged."""
+    x = value.cast("double")
+    return {
+        "sum": {"a": F.sum(value)}, "min": {"a": F.min(value)}, "max": {"a": F.max(value)}, "count": {"a": F.count(value)},
+        "mean": {"n": F.count(x), "a": F.sum(x)}, "std": {"n": F.count(x), "a": F.avg(x), "s": F.var_pop(x)},
+    }[agg]
+
+
+def _merged(agg: str, p: dict[str, Column], q: dict[str, Column]) -> Column:
+    """The aggregate of both sets; an empty one has null, and no rows."""
+    a, b = p["a"], q["a"]
+    if agg in ("min", "max", "count"):
+        return F.least(a, b) if agg == "min" else F.greatest(a, b) if agg == "max" else a + b
+    total = F.coalesce(a + b, a, b)
+    if agg == "sum":
+        return total
+    n = p["n"] + q["n"]
+    if agg == "mean":
+        return F.when(n > 0, total / n)
+    of = lambda c: F.coalesce(c, F.lit(0.0))
+    apart = F.when((p["n"] > 0) & (q["n"] > 0), (a - b) * (a - b) * p["n"] * q["n"] / n).otherwise(F.lit(0.0))
+    return F.when(n > 1, F.sqrt((of(p["s"]) * p["n"] + of(q["s"]) * q["n"] + apart) / (n - 1)))
+
+
 def moving_window_aggregation(event_frame: EventFrame, window: str, group_by: Sequence[str], value_col: str, agg: str = "mean", output_col: str | None = None) -> EventFrame:
     """Aggregate of the group's rows of the last ``window`` of time, the row's own time included.
 
-    Without groups, and where groups are spread, time is cut into blocks as long as
-    the window, and each row goes to its own block and, for its value, to the next.
+    Time is cut into blocks as long as the window, and each row goes to its own
+    block and, for its value, to the next. A window is then the beginning of the
+    row's block and the end of the one before: two running aggregates, merged. The
+    work is that of sorting, however many rows a window has.
     """
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {agg}")
     out, width = output_col or f"{value_col}_{agg}_{window}", parse_duration(window)
-    df, keys = event_frame.df.withColumn("_us", micros(event_frame.schema.timestamp_col)), list(group_by)
-    if not keys or spread_groups(df, keys):
-        own = df.withColumns({BLOCK: F.floor(F.col("_us") / width), HALO: F.lit(False)})
-        later = own.select(*keys, value_col, "_us", (F.col(BLOCK) + 1).alias(BLOCK), F.lit(True).alias(HALO))
-        df, keys = own.unionByName(later, allowMissingColumns=True), [*keys, BLOCK]
-    over = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(width - 1), 0)
-    df = own_rows(df.withColumn(out, AGGREGATES[agg](value_col).over(over)), [*(c for c in event_frame.df.columns if c != out), out])
+    kind = event_frame.df.select(AGGREGATES[agg](value_col)).schema[0].dataType
+    keys = [*group_by, BLOCK]
+    own = event_frame.df.withColumn("_at", micros(event_frame.schema.timestamp_col)).withColumns({BLOCK: F.floor(F.col("_at") / width), HALO: F.lit(False)})
+    later = own.select(*group_by, F.col(value_col).alias("_v"), (F.col("_at") + width).alias("_at"), (F.col(BLOCK) + 1).alias(BLOCK), F.lit(True).alias(HALO))
+    df = own.withColumn("_v", F.col(value_col)).unionByName(later, allowMissingColumns=True)
+    begun = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    # backward in time; at one time a row comes before those that are a whole window older, which are out
+    ended = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), HALO).rowsBetween(Window.unboundedPreceding, 0)
+    sides = {}
+    for name, over, mine in (("_p", begun, ~F.col(HALO)), ("_q", ended, F.col(HALO))):
+        sides |= {f"{name}{k}": c.over(over) for k, c in _parts(agg, F.when(mine, F.col("_v"))).items()}
+    df = df.withColumns(sides)
+    p, q = ({k: F.col(f"{name}{k}") for k in "nas" if f"{name}{k}" in sides} for name in ("_p", "_q"))
+    df = own_rows(df.withColumn(out, _merged(agg, p, q).cast(kind)), [*(c for c in event_frame.df.columns if c != out), out])
     return event_frame.produced(df, "moving_window_aggregation", [out], [value_col, *group_by], window=window, agg=agg)
 
 

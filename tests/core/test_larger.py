@@ -3,7 +3,11 @@
 from datetime import timedelta
 
 import numpy as np
+import pytest
+from pyspark.sql import types as T
+
 from chronomesh.operators import context as C
+from chronomesh.operators import features as FE
 from chronomesh.schema import ContextSchema
 from chronomesh.sources.context import StaticTemporalSource
 from tests.conftest import START
@@ -30,3 +34,32 @@ def test_interval_blocks_are_as_long_as_the_intervals(spark, make):
     assert str(width) in df._jdf.queryExecution().optimizedPlan().toString()
     own = C.IntervalJoin("1d").join(frame, source).df
     assert own.exceptAll(df).count() == 0 == df.exceptAll(own).count()
+
+
+WANT = {"sum": sum, "min": min, "max": max, "count": len, "mean": np.mean, "std": lambda v: np.std(v, ddof=1) if len(v) > 1 else None}
+
+
+@pytest.mark.parametrize("keys", [[], ["user"]])
+@pytest.mark.parametrize("agg", sorted(WANT))
+def test_moving_windows_are_two_running_aggregates(make, rows_of, keys, agg):
+    """No frame slides over the rows of a window; ties, nulls, empty windows and rows just a window apart."""
+    rng = np.random.default_rng(4)
+    at = rng.integers(-40, 200, 300).tolist()
+    value = [None if k % 7 == 0 else float(v) for k, v in enumerate(rng.normal(1e6, 1.0, 300))]
+    frame = make([{"ts": START + timedelta(minutes=m), "id": k, "value": value[k]} for k, m in enumerate(at)])
+    out = FE.moving_window_aggregation(frame, "20m", keys, "value", agg)
+    plan = out.df._jdf.queryExecution().analyzed().toString()
+    assert "unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    for r in rows_of(out):
+        k = r["id"]
+        held = [value[j] for j in range(300) if at[k] - 20 < at[j] <= at[k] and value[j] is not None and (not keys or j % 2 == k % 2)]
+        want = WANT[agg](held) if held or agg == "count" else None
+        got = r[f"value_{agg}_20m"]
+        assert (got is None) == (want is None) and (want is None or abs(got - want) <= 1e-9 * max(1.0, abs(want)))
+    assert dict(out.df.dtypes)[f"value_{agg}_20m"] == ("bigint" if agg == "count" else "double")
+
+
+def test_moving_windows_keep_types_and_rows_without_a_time(make, rows_of):
+    frame = make([{"ts": None if k < 3 else START + timedelta(hours=k), "id": k, "n": k, "word": "xyz"[k % 3]} for k in range(8)], n=T.LongType(), word=T.StringType())
+    got = rows_of(FE.moving_window_aggregation(FE.moving_window_aggregation(frame, "2h", [], "n", "sum"), "2h", [], "word", "max"))
+    assert [r["n_sum_2h"] for r in got] == [3, 3, 3, 3, 7, 9, 11, 13] and [r["word_max_2h"] for r in got] == ["z", "z", "z", "x", "y", "z", "z", "y"]
