@@ -208,15 +208,21 @@ class InterArrivalStep(Step):
 _DIRECTIONS = {"before": "backward", "after": "forward", "nearest": "nearest"}
 
 
-def align_temporal(event_frame: EventFrame, context: DataFrame, context_ts: str, strategy: str = "nearest", window: str | None = None) -> EventFrame:
-    """Columns of the context row at the same time (exact), or before, after or nearest, up to ``window`` away."""
+def align_temporal(
+    event_frame: EventFrame, context: DataFrame, context_ts: str, strategy: str = "nearest", window: str | None = None, ties: Sequence[str] = ()
+) -> EventFrame:
+    """Columns of the context row at the same time (exact), or before, after or nearest, up to ``window`` away.
+
+    Of several rows at one time before takes the last and after the first by the order
+    of ``ties``, such as an id, and then of all columns as they stand.
+    """
     ts = event_frame.schema.timestamp_col
     cols = [c for c in context.columns if c != context_ts]
     if strategy == "exact":
         other = context.withColumnRenamed(context_ts, "_ts")
         df = event_frame.df.join(other, F.col(ts) == F.col("_ts"), "left").drop("_ts")
     elif strategy in _DIRECTIONS:
-        df = asof_join(event_frame.df, context, ts, context_ts, cols, direction=_DIRECTIONS[strategy], tolerance=window)
+        df = asof_join(event_frame.df, context, ts, context_ts, cols, direction=_DIRECTIONS[strategy], tolerance=window, ties=ties)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
     return event_frame.with_df(df)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from chronomesh.operators import context as C
 from chronomesh.operators import features as FE
+from chronomesh.plans.queries import queries
 from chronomesh.schema import ContextSchema
 from chronomesh.sources.context import StaticTemporalSource
 from tests.conftest import START
@@ -63,3 +64,17 @@ def test_moving_windows_keep_types_and_rows_without_a_time(make, rows_of):
     frame = make([{"ts": None if k < 3 else START + timedelta(hours=k), "id": k, "n": k, "word": "xyz"[k % 3]} for k in range(8)], n=T.LongType(), word=T.StringType())
     got = rows_of(FE.moving_window_aggregation(FE.moving_window_aggregation(frame, "2h", [], "n", "sum"), "2h", [], "word", "max"))
     assert [r["n_sum_2h"] for r in got] == [3, 3, 3, 3, 7, 9, 11, 13] and [r["word_max_2h"] for r in got] == ["z", "z", "z", "x", "y", "z", "z", "y"]
+
+
+@pytest.mark.parametrize(("name", "same"), [("align_before", "asof_backward"), ("align_after", "asof_forward"), ("align_nearest", "asof_nearest")])
+def test_rows_at_one_time_go_by_their_id(spark, tmp_path, name, same):
+    """Of side rows at one time before takes the last id and after the first, whatever their users; so do the other as-of joins."""
+    rows = [(k, START + timedelta(minutes=20 * (k // 4)), (k * 7) % 11, "view", float(k)) for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.cid for r in queries()[name](spark, str(tmp_path)).collect()}
+    other = {r.event_id: r.cid for r in queries()[same](spark, str(tmp_path)).collect()}
+    for k, r in enumerate(rows):
+        lag = k // 4 - 3  # the side rows at the very time of the event, an hour later than they were
+        if lag >= 0:
+            assert got[k] == (4 * lag if name == "align_after" else 4 * lag + 3)
+            assert got[k] == other[k]
