@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from chronomesh.adapters import base
+from chronomesh.adapters.stream import StreamAdapter
 from chronomesh.operators import context as C
 from chronomesh.operators import features as FE
 from chronomesh.plans.queries import queries
@@ -13,6 +15,8 @@ from chronomesh.schema import ContextSchema
 from chronomesh.sources.context import StaticTemporalSource
 from tests.conftest import START
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_interval_blocks_are_as_long_as_the_intervals(spark, make):
     """An event meets the intervals around it, not those of its whole day; long and empty ones and ties count too."""
@@ -78,3 +82,47 @@ def test_rows_at_one_time_go_by_their_id(spark, tmp_path, name, same):
         if lag >= 0:
             assert got[k] == (4 * lag if name == "align_after" else 4 * lag + 3)
             assert got[k] == other[k]
+
+
+@pytest.fixture
+def no_gather(monkeypatch):
+    """Nothing of the size of the events may come to the driver."""
+
+    def refuse(self, df):
+        raise AssertionError("gathered on the driver")
+
+    monkeypatch.setattr(base.BaseModalityAdapter, "gather", refuse)
+
+
+@pytest.mark.parametrize("fmt", base.PARTS)
+def test_parts_keep_rows_and_types(spark, tmp_path, fmt):
+    rows = [(k, None if k % 5 == 0 else k / 3, float("nan") if k == 7 else 1e300, "\u00e9\n" * (k % 2) or None, [[k * 0.1, 2.0], []], [True, False], k % 3, None if k == 3 else START + timedelta(microseconds=k)) for k in range(25)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, word string, v array<array<double>>, mask array<boolean>, n int, ts timestamp_ntz").repartition(3)
+    df = df.withColumns({"at": df.ts.cast("timestamp"), "day": df.ts.cast("date")})
+    base.write_parts(df, f"{tmp_path}/parts", fmt)
+    back = base.read_parts(spark, f"{tmp_path}/parts", df.schema, fmt)
+    assert back.dtypes == df.dtypes
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    base.write_parts(df.where("id < 0"), f"{tmp_path}/none", fmt)
+    assert base.read_parts(spark, f"{tmp_path}/none", df.schema, fmt).collect() == []
+    with pytest.raises(ValueError):
+        base.write_parts(df, f"{tmp_path}/pickle", "pickle")
+
+
+def test_stream_json_in_parts(spark, no_gather):
+    """Places are those of the whole order, and the parts hold what the arrays do."""
+    got = sorted(queries()["stream_json"](spark, SF).collect())
+    assert [r.place for r in got] == list(range(len(got))) and len(got) == 1000
+    assert all(a.time <= b.time for a, b in zip(got, got[1:]))
+
+
+def test_placed_is_the_order_of_the_arrays(make, rows_of):
+    frame = make([{"ts": None if k == 2 else START + timedelta(hours=(k * 29) % 40, days=k % 3), "id": k, "kind": None if k == 4 else "AB"[k % 2]} for k in range(30)])
+    adapter = StreamAdapter(state_cols=["value"], event_type_col="kind", dtype="float64")
+    whole = adapter.convert(frame)
+    placed = sorted(adapter.placed(frame).collect(), key=lambda r: r.place)
+    assert [r.place for r in placed] == list(range(29))
+    assert [(r.time, r.value) for r in placed] == list(zip(whole.timestamps.tolist(), whole.states[:, 0].tolist()))
+    for k, (times, states) in whole.get_sequences_by_type().items():
+        mine = adapter.by_type(frame).where(f"event_type = {k}").orderBy("ts", "id").collect()
+        assert [(r.time, r.value) for r in mine] == list(zip(times.tolist(), states[:, 0].tolist()))
