@@ -126,3 +126,8 @@ def test_placed_is_the_order_of_the_arrays(make, rows_of):
     for k, (times, states) in whole.get_sequences_by_type().items():
         mine = adapter.by_type(frame).where(f"event_type = {k}").orderBy("ts", "id").collect()
         assert [(r.time, r.value) for r in mine] == list(zip(times.tolist(), states[:, 0].tolist()))
+
+
+def test_stream_by_type_stays_off_the_driver(spark, no_gather):
+    got = {r.event_type: r.n for r in queries()["stream_by_type"](spark, SF).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and sum(got.values()) == 1000
