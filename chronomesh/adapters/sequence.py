@@ -8,13 +8,16 @@ from typing import Any, ClassVar, Literal
 import numpy as np
 import pyarrow as pa
 from pydantic import BaseModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.adapters.base import BaseModalityAdapter, Output
 from chronomesh.frame import EventFrame
 from chronomesh.registry import ADAPTERS
 
+#: Steps of a sequence in one row of the pieces.
+PIECE = 1024
+
 
 class SequenceAdapterConfig(BaseModel):
     spatial_col: str | None = None
@@ -84,10 +87,29 @@ class SequenceAdapter(BaseModalityAdapter):
         n = self.config.sequence_length
         if not n:
             return rows.withColumn("mask", F.transform("values", lambda v: F.lit(True)))
-        pad, gap = F.array_repeat(F.array(*(F.lit(float(self.config.padding_value)) for _ in names)), F.lit(n) - F.size("values")), F.array_repeat(F.lit(False), F.lit(n) - F.size("values"))
+        return rows.withColumns(self._padded(n, len(names)))
+
+    def pieces(self, source: EventFrame | DataFrame, size: int = PIECE) -> DataFrame:
+        """The sequences cut into rows of ``size`` steps, the last of each padded: unit, start, length of the unit, values and mask.
+
+        For any length: a row holds no more than ``size`` steps, however uneven the units are,
+        and no more than the longest sequence, so that short ones are not padded beyond it.
+        """
+        long = self.frame(source)
+        size = min(size, (self.data(source).where(F.col(self.unit(source)).isNotNull()).groupBy(self.unit(source)).count().agg(F.max("count")).first()[0] or size))
+        names = long.columns[3:]
+        step = F.struct("position", F.array(*(F.col(f"`{c}`") for c in names)).alias("v"))
+        start = (F.col("position") - F.pmod("position", F.lit(size))).cast("long")
+        rows = long.groupBy("unit", start.alias("start")).agg(F.max("length").alias("length"), F.transform(F.sort_array(F.collect_list(step)), lambda s: s["v"]).alias("values"))
+        return rows.withColumns(self._padded(size, len(names)))
+
+    def _padded(self, n: int, width: int) -> dict[str, Column]:
+        """Values up to ``n`` steps, and the mask."""
+        gap = F.lit(n) - F.size("values")
+        pad, off = F.array_repeat(F.array(*(F.lit(float(self.config.padding_value)) for _ in range(width))), gap), F.array_repeat(F.lit(False), gap)
         real = F.transform("values", lambda v: F.lit(True))
         left = self.config.padding_side == "left"
-        return rows.withColumns({"mask": F.concat(gap, real) if left else F.concat(real, gap), "values": F.concat(pad, F.col("values")) if left else F.concat(F.col("values"), pad)})
+        return {"mask": F.concat(off, real) if left else F.concat(real, off), "values": F.concat(pad, F.col("values")) if left else F.concat(F.col("values"), pad)}
 
     def convert(self, event_frame: EventFrame | DataFrame) -> SequenceOutput:
         table = self.gather(self.frame(event_frame).orderBy("unit", "position"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from chronomesh.adapters import base
+from chronomesh.adapters.sequence import SequenceAdapter
 from chronomesh.adapters.stream import StreamAdapter
 from chronomesh.operators import context as C
 from chronomesh.operators import features as FE
@@ -131,3 +132,24 @@ def test_placed_is_the_order_of_the_arrays(make, rows_of):
 def test_stream_by_type_stays_off_the_driver(spark, no_gather):
     got = {r.event_type: r.n for r in queries()["stream_by_type"](spark, SF).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4] and sum(got.values()) == 1000
+
+
+@pytest.mark.parametrize("side", ["right", "left"])
+def test_pieces_hold_the_sequences(make, side):
+    """Uneven units in rows of four steps and of the longest sequence: the arrays' values, in order, with padding at the end asked for."""
+    frame = make([{"ts": START + timedelta(hours=(k * 7) % 20), "id": k, "grid_id": None if k == 5 else int(k > 13)} for k in range(20)], grid_id=T.LongType())
+    adapter = SequenceAdapter(feature_cols=["value"], dtype="float64", padding_value=-1.0, padding_side=side)
+    whole = adapter.convert(frame)
+    for size, shown in ((4, 4), (1000, 13)):
+        rows = sorted(adapter.pieces(frame, size).collect(), key=lambda r: (r.unit, r.start))
+        assert all(len(r["values"]) == len(r["mask"]) == shown for r in rows)
+        for u in (0, 1):
+            mine = [v[0] for r in rows if r.unit == u for v, m in zip(r["values"], r["mask"]) if m]
+            assert mine == whole.sequences[u][whole.masks[u]][:, 0].tolist() and {r.length for r in rows if r.unit == u} == {len(mine)}
+        assert all(v[0] == -1.0 for r in rows for v, m in zip(r["values"], r["mask"]) if not m)
+        assert all(r["mask"] == sorted(r["mask"], reverse=side == "right") for r in rows)
+
+
+@pytest.mark.parametrize("name", ["sequence_arrow"])
+def test_files_in_parts_stay_off_the_driver(spark, no_gather, name):
+    assert queries()[name](spark, SF).count() == 1000
