@@ -150,6 +150,6 @@ def test_pieces_hold_the_sequences(make, side):
         assert all(r["mask"] == sorted(r["mask"], reverse=side == "right") for r in rows)
 
 
-@pytest.mark.parametrize("name", ["sequence_arrow", "table_parquet"])
+@pytest.mark.parametrize("name", ["sequence_arrow", "table_parquet", "table_plain"])
 def test_files_in_parts_stay_off_the_driver(spark, no_gather, name):
     assert queries()[name](spark, SF).count() == 1000
